@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, minhash, packing, tokens
+from . import decontam, minhash, packing, pii, tokens
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,11 +31,19 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    base = F.concat(*[pii.labelled(k) for k in pii.KINDS])
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(base, pii.labelled("term")), ",").alias("spans"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_token_orc": op5_token_orc,
     "op6_packing": op6_packing,
+    "op10_pii_sanitisation": op10_pii_sanitisation,
 }
 
 ORACLE_SQL: dict[str, str] = {}
