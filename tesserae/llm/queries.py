@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, minhash, packing, pii, tokens
+from . import decontam, html, minhash, packing, pii, tokens
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     base = F.concat(*[pii.labelled(k) for k in pii.KINDS])
@@ -43,6 +47,7 @@ QUERIES: dict[str, Query] = {
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_token_orc": op5_token_orc,
     "op6_packing": op6_packing,
+    "op9_html_extraction": op9_html_extraction,
     "op10_pii_sanitisation": op10_pii_sanitisation,
 }
 
