@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, minhash, packing, pii, tokens, topk
+from . import decontam, html, minhash, packing, pii, sharding, tokens, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.kd_shards(table(spark, sf_dir, "documents"), shards=16)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages"))
 
@@ -52,6 +57,7 @@ QUERIES: dict[str, Query] = {
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_token_orc": op5_token_orc,
     "op6_packing": op6_packing,
+    "op7_kd_sharding": op7_kd_sharding,
     "op9_html_extraction": op9_html_extraction,
     "op10_pii_sanitisation": op10_pii_sanitisation,
 }
