@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, minhash, packing, pii, sharding, tokens, topk
-from .common import table
+from . import decontam, html, minhash, packing, pii, quality, sharding, tokens, topk, toxicity
+from .common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,17 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def _judged(scored: DataFrame, held_out, threshold: float) -> DataFrame:
+    rows = scored.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("__score").alias("score"))
+    return rows.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels, crc_mod("doc_id", 3) != 1)
+    return _judged(toxicity.scored(docs, model), crc_mod("doc_id", 3) == 1, toxicity.THRESHOLD)
+
+
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -40,6 +51,12 @@ def op7_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels, crc_mod("doc_id", 5) != 0)
+    return _judged(quality.scored(docs, model), crc_mod("doc_id", 5) == 0, quality.THRESHOLD)
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages"))
 
@@ -53,11 +70,13 @@ def op10_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_toxicity": op2_toxicity,
     "op3_exact_topk": op3_exact_topk,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_token_orc": op5_token_orc,
     "op6_packing": op6_packing,
     "op7_kd_sharding": op7_kd_sharding,
+    "op8_quality_crf": op8_quality_crf,
     "op9_html_extraction": op9_html_extraction,
     "op10_pii_sanitisation": op10_pii_sanitisation,
 }
