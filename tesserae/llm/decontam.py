@@ -78,7 +78,7 @@ def scan(auto: ahocorasick.Automaton, text: bytes | None) -> tuple[int, list[int
 
 def spans_of(text: str, hits: list[int]) -> list[dict]:
     """Runs of hit words as code points of the original text, end exclusive."""
-    places = [m.span() for m in _WORD.finditer(text)]
+    places = [m.span() for m in _WORD.finditer(text.translate(_LOWER))]
     out: list[dict] = []
     for k, word in enumerate(hits):
         if k and hits[k - 1] == word - 1:
