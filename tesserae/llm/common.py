@@ -48,9 +48,12 @@ def texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-def row_key(df: DataFrame, name: str) -> DataFrame:
-    """A stable number for each row of files or of a stored frame."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the frame doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def crc_mod(column: str, n: int):

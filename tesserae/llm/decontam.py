@@ -113,26 +113,49 @@ def _scanner(shared, first: bool, last: bool):
     return run
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """Adds to (doc_id, text): n_words, hits (word numbers), items (item ids) and spans of the original text."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _blocks(benchmark: DataFrame, window: int, most_bytes: int) -> list:
+    """Broadcast patterns of the items, in as many blocks as their bytes ask for."""
+    spark = benchmark.sparkSession
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * window
     parts = max(1, -(-size // most_bytes))
-    out = docs
+    out = []
     for k in range(parts):
         block = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-        shared = spark.sparkContext.broadcast(patterns([(r[0], r[1].encode()) for r in block.toLocalIterator()], window))
-        out = out.mapInArrow(_scanner(shared, k == 0, k == parts - 1), f"doc_id long, text string, {HITS}")
+        out.append(spark.sparkContext.broadcast(patterns([(r[0], r[1].encode()) for r in block.toLocalIterator()], window)))
+    return out
+
+
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """doc_id and text of every row with n_words, hits (word numbers), items (item ids) and spans of the original text."""
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    blocks = _blocks(benchmark, window, most_bytes)
+    for k, shared in enumerate(blocks):
+        out = out.mapInArrow(_scanner(shared, k == 0, k == len(blocks) - 1), f"doc_id long, text string, {HITS}")
     return out
 
 
 CONTAMINATED = "size(hits) > 0 and 20 * size(hits) >= n_words"
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def _cleaner(shared, at: int):
+    kept: dict = {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto = kept.get("a") or kept.setdefault("a", automaton(shared.value)) if shared.value else None
+        for batch in batches:
+            found = [scan(auto, t)[:2] if auto else (0, []) for t in texts(batch.column(at))]
+            yield batch.filter(pa.array([not h or 20 * len(h) < n for n, h in found], pa.bool_()))
+
+    return run
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_bytes: int = MOST_BYTES) -> DataFrame:
     """The rows whose hit words are less than a twentieth of their words, unchanged and with all their columns.
-    Rows are told apart by doc_id and text, so equal rows share one verdict."""
-    found = benchmark_hits(docs.select("doc_id", "text"), benchmark, window).where(CONTAMINATED).select(F.col("doc_id").alias("__id"), F.col("text").alias("__text")).distinct()
+    With a benchmark of several blocks rows are told apart by doc_id and text, so equal rows share one verdict."""
+    blocks = _blocks(benchmark, window, most_bytes)
+    if len(blocks) == 1:
+        docs = docs.withColumn("text", F.col("text").cast("string"))
+        return docs.mapInArrow(_cleaner(blocks[0], docs.columns.index("text")), docs.schema)
+    found = benchmark_hits(docs, benchmark, window, most_bytes).where(CONTAMINATED).select(F.col("doc_id").alias("__id"), F.col("text").alias("__text")).distinct()
     return docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]) & docs["text"].eqNullSafe(found["__text"]), "left_anti")

@@ -196,21 +196,21 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qual
     return fit(found, y, float(share))
 
 
-def _score(shared, at: int):
+def _score(shared, at: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
                 scores = model.scores([document_features(t) for t in texts(part.column(at))]) if model else np.full(part.num_rows, 0.5)
-                yield pa.record_batch([*part.columns, pa.array(scores, pa.float64())], names=[*part.schema.names, "__score"])
+                yield pa.record_batch([*part.columns, pa.array(scores, pa.float64())], names=[*part.schema.names, name])
 
     return run
 
 
-def scored(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows with all their columns and `__score`."""
-    docs = docs.drop("__score").withColumn("text", F.col("text").cast("string"))
+def scored(docs: DataFrame, model: Model | None, name: str = "__score") -> DataFrame:
+    """The rows with all their columns and `name`, which they mustn't have yet."""
+    docs = docs.withColumn("text", F.col("text").cast("string"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", __score double"
-    return docs.mapInArrow(_score(shared, docs.columns.index("text")), schema)
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", `{name}` double"
+    return docs.mapInArrow(_score(shared, docs.columns.index("text"), name), schema)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh, stored
 
 # Identity terms by group. Terms of a group stand for one another.
 IDENTITY = {
@@ -173,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
 CACHE = 300_000
 
 
-def _score(shared, at: int):
+def _score(shared, at: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, cache = shared.value, {}
         for batch in batches:
@@ -182,14 +182,20 @@ def _score(shared, at: int):
                 scores.append(model.of(words_of(t), cache))
                 if len(cache) > CACHE:
                     cache.clear()
-            yield pa.record_batch([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "__score"])
+            yield pa.record_batch([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
 
     return run
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows with all their columns and `__score`."""
-    docs = docs.drop("__score").withColumn("text", F.col("text").cast("string"))
+def scored(docs: DataFrame, model: Model, name: str = "__score") -> DataFrame:
+    """The rows with all their columns and `name`, which they mustn't have yet."""
+    docs = docs.withColumn("text", F.col("text").cast("string"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", __score double"
-    return docs.mapInArrow(_score(shared, docs.columns.index("text")), schema)
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", `{name}` double"
+    return docs.mapInArrow(_score(shared, docs.columns.index("text"), name), schema)
+
+
+def remove_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that score below the threshold, unchanged."""
+    name = fresh(docs, "score")
+    return scored(docs, model, name).where(F.col(name) < threshold).drop(name)
