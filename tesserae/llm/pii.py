@@ -96,7 +96,7 @@ def _bit_test(terms: DataFrame):
 
     def test(word: Column) -> Column:
         h = _hash(word)
-        return F.getbit(F.get(array, F.shiftright(h, 6)), F.pmod(h, F.lit(64)).cast("int"))
+        return F.getbit(F.get(array, F.shiftright(h, 6)), F.pmod(h, F.lit(64)).cast("int")) == 1
 
     return test
 
@@ -158,7 +158,11 @@ def sanitise(docs: DataFrame, **thresholds: float) -> DataFrame:
     """The input's rows with base matches replaced by [EMAIL] and so on, disclosing terms removed or generalised to
     [TERM], and n_chars, where there is one, counted anew. Where spans overlap, the earliest and then the longest stays; null texts stay null."""
     found = find(docs, **thresholds)
-    marks = F.concat(*[F.transform(k, lambda s, k=k: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), F.lit(f"[{k.upper()}]").alias("mark"))) for k in KINDS], F.transform("term", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), F.when(s["removed"], "").otherwise("[TERM]").alias("mark"))))
+    def mark(spans: str, of) -> Column:
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), of(s).alias("mark")))
+
+    base = [mark(k, (lambda text: lambda s: F.lit(text))(f"[{k.upper()}]")) for k in KINDS]
+    marks = F.concat(*base, mark("term", lambda s: F.when(s["removed"], "").otherwise("[TERM]")))
     marks = found.select(F.col("key").alias("__key"), F.array_sort(marks).alias("__marks")).where("size(__marks) > 0").groupBy("__key").agg(F.first("__marks").alias("__marks"))
     out = docs.withColumn("__own", F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     out = out.join(marks, out["__own"] == marks["__key"], "left")
