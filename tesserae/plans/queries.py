@@ -415,11 +415,46 @@ def read_windows(spark, sf_dir):
     return health.read_windows(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 4, 2000)
 
 
-@query("SELECT conv_id, turn, role, text FROM conversations WHERE turn = 0")
-def record_statement(spark, sf_dir):
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_custkey - 3 >= 100 AND o_orderstatus <> 'F' OR o_custkey % 50 = 7")
+def statement_select(spark, sf_dir):
     """The same rows through the statement language, unbounded scan."""
     from ..language.session import Session
 
     session = Session(spark)
-    session.attach("lab", "talks", table(spark, sf_dir, "conversations"), row_id="conv_id")
-    return session.plan("SELECT conv_id, turn, role, text FROM lab.talks WHERE turn = 0 AND NOT (role = NULL)", bounded=False)
+    session.attach("trade", "orders", table(spark, sf_dir, "orders"), row_id="o_orderkey")
+    return session.plan("SELECT o_orderkey, o_custkey, o_orderstatus FROM trade.orders WHERE o_custkey - 3 >= 100 AND o_orderstatus != 'F' OR o_custkey % 50 = 7", bounded=False)
+
+
+@query("SELECT o_orderkey, o_custkey FROM (SELECT * FROM orders ORDER BY strlen(CAST(o_orderkey AS VARCHAR)), CAST(o_orderkey AS VARCHAR) LIMIT 1000) WHERE o_custkey > 700 ORDER BY strlen(CAST(o_orderkey AS VARCHAR)), CAST(o_orderkey AS VARCHAR) LIMIT 20")
+def statement_bounded(spark, sf_dir):
+    """Scan and row budgets: of the first 1000 rows in scan order the first 20 that match."""
+    from ..language.session import Session
+
+    session = Session(spark)
+    session.attach("trade", "orders", table(spark, sf_dir, "orders"), row_id="o_orderkey")
+    return session.plan("SELECT o_orderkey, o_custkey FROM trade.orders WHERE o_custkey > :c LIMIT 20", {"c": 700})
+
+
+@query("SELECT e.event_id, e.user_id, e.event_type, o.o_orderkey FROM events e JOIN orders o ON e.user_id = o.o_custkey WHERE e.event_type = 'purchase'")
+def ext_join(spark, sf_dir):
+    """Extension: joins, which statements don't have."""
+    events = table(spark, sf_dir, "events").where("event_type = 'purchase'").select("event_id", "user_id", "event_type")
+    return events.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("user_id") == F.col("o_custkey")).select("event_id", "user_id", "event_type", "o_orderkey")
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 6 HOUR THEN 1 ELSE 0 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+  s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n_events, min(event_id) AS first_event FROM s GROUP BY user_id, session""")
+def ext_sessions(spark, sf_dir):
+    """Extension: sessions of events with gaps of at most six hours."""
+    own = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    gap = F.lag("ts").over(own)
+    rows = table(spark, sf_dir, "events").withColumn("n", F.when(gap.isNull() | (F.col("ts") - gap > F.expr("INTERVAL 6 HOURS")), 1).otherwise(0))
+    rows = rows.withColumn("session", F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy("user_id", "session").agg(F.count("*").alias("n_events"), F.min("event_id").alias("first_event"))
+
+
+@query("SELECT o_custkey, o_orderkey, r FROM (SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS r FROM orders) WHERE r <= 3")
+def ext_window_topn(spark, sf_dir):
+    """Extension: each customer's three largest orders."""
+    r = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
+    return table(spark, sf_dir, "orders").withColumn("r", r).where("r <= 3").select("o_custkey", "o_orderkey", "r")
