@@ -7,8 +7,8 @@ Terms: lower-cased words (letters) that stand within `reach` characters of a bas
 protected value, over distinct texts of the whole corpus. For a term t and a value e the disclosure is
 P(e | t) = texts with t near e / texts with t, and the gain is log2(P(e | t) / P(e)) bits. A pair with
 at least `support` texts and `bits` of gain marks t: it is removed from `remove` up and generalised to
-[TERM] from `generalise` up, wherever it stands. Words of all documents are compared with a bit array of
-the terms' hashes (2^17 bits, whatever their number) before the exact join, so few words are shuffled.
+[TERM] from `generalise` up, wherever it stands. Words of all documents are compared with a Bloom filter of
+the terms (2^17 bits, whatever their number) before the exact join, so few words are shuffled.
 
 Null text is empty: no spans. Equal texts have equal spans. Terms that overlap base matches aren't spans.
 """
@@ -81,22 +81,23 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), 0))
 
 
-def _hash(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(1 << _HASH_BITS)).cast("int")
+def _spots(term: Column) -> tuple[Column, Column]:
+    h, n = F.xxhash64(term), F.lit(1 << _HASH_BITS)
+    return F.pmod(h, n).cast("int"), F.pmod(F.shiftright(h, 24), n).cast("int")
 
 
 def _bit_test(terms: DataFrame):
-    """A test that every term passes and few other words do. Its size is fixed, so the driver can hold it."""
-    h = _hash(F.col("term"))
-    rows = terms.select(F.shiftright(h, 6).alias("i"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int")).alias("b")).groupBy("i").agg(F.bit_or("b").alias("b")).collect()
+    """A test that every term passes and few other words do: a Bloom filter of fixed size, so the driver can hold it."""
+    spots = terms.select(F.explode(F.array(*_spots(F.col("term")))).alias("h"))
+    rows = spots.select(F.shiftright("h", 6).alias("i"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("h", F.lit(64)).cast("int")).alias("b")).groupBy("i").agg(F.bit_or("b").alias("b")).collect()
     if not rows:
         return None
     held = {r["i"]: r["b"] for r in rows}
     array = F.expr("array(" + ",".join(f"{held[i]}L" if i in held and held[i] != -(1 << 63) else ("shiftleft(1L,63)" if i in held else "0L") for i in range(1 << (_HASH_BITS - 6))) + ")")
 
     def test(word: Column) -> Column:
-        h = _hash(word)
-        return F.getbit(F.get(array, F.shiftright(h, 6)), F.pmod(h, F.lit(64)).cast("int")) == 1
+        one, two = (F.getbit(F.get(array, F.shiftright(h, 6)), F.pmod(h, F.lit(64)).cast("int")) == 1 for h in _spots(word))
+        return one & two
 
     return test
 
@@ -111,7 +112,11 @@ def disclosing_terms(base: DataFrame, reach: int = REACH, support: int = SUPPORT
     before = F.when(F.col("s.start") > reach, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before)
     after = F.when(F.char_length("text") > F.col("s.end") + reach, F.regexp_replace(after, r"\p{L}+$", "")).otherwise(after)
     near = found.select("key", F.md5(F.lower(F.col("s.value"))).alias("value"), F.explode(_words(F.concat_ws(" ", before, after))).alias("term")).distinct()
+    near, _ = stored(near, "pii-near")
+    # a term near other values in more texts than `generalise` allows can't pass, wherever else it stands
+    least = near.select("key", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
     pairs = near.groupBy("term", "value").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
+    pairs = pairs.join(least, "term").where(F.col("n_both") >= generalise * F.col("n_near")).drop("n_near")
     pairs, _ = stored(pairs, "pii-pairs")
     test = _bit_test(pairs.select("term"))
     if test is None:
