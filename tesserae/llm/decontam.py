@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import small_batches, texts
 
 WINDOW = 13
 MOST_BYTES = 64_000_000
@@ -116,6 +116,7 @@ def _scanner(shared, first: bool, last: bool):
 def _blocks(benchmark: DataFrame, window: int, most_bytes: int) -> list:
     """Broadcast patterns of the items, in as many blocks as their bytes ask for."""
     spark = benchmark.sparkSession
+    small_batches(spark)
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * window
     parts = max(1, -(-size // most_bytes))

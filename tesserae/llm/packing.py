@@ -4,9 +4,9 @@ Each partition reads its documents in the order of its files. A document that is
 cut into full windows and a rest. A rest goes to the open window that it fills best; if it fits into none
 and all of the `open_windows` are in use, the fullest one is emitted: what its gap holds is cut
 from the rest to fill it up. At most `open_windows` windows of pieces (not ids) are held at any time.
-What is still open at a partition's end goes on to a merge: groups of `MERGE` partitions are packed
-in the same way, level by level, until one group is left, so no task sees more than a bounded number
-of pieces. Decisions depend only on the rows' order in their files, so a task that runs again decides alike.
+What is still open at a partition's end goes on to a merge: the pieces of `MERGE` partitions, the longest first, fill
+window after window, and the last window goes to the next level, until one group is left, so no task sees more
+than a bounded number of pieces and only the very last window is padded. Decisions depend only on the rows' order in their files, so a task that runs again decides alike.
 
 Null text: a document of the end id alone. Repeated rows are packed one by one. Sequence ids are unique but not dense.
 """
@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, texts
+from .common import small_batches, stored, texts
 from .tokens import VOCABULARY, _path, encoder
 
 LENGTH, OPEN, MERGE = 4096, 64, 16
@@ -108,11 +108,11 @@ def _pack(path: str, end: int, length: int, most: int):
     return run
 
 
-def _merge(level: int, length: int, most: int, final: bool):
+def _merge(level: int, length: int, final: bool):
     def run(key: tuple, group: pa.Table) -> pa.Table:
         rows = group.sort_by([("sequence_id", "ascending"), ("offset", "ascending")]).to_pylist()
-        packer = Packer(length, most)
-        for r in sorted(rows, key=lambda r: -r["length"]):  # stable: decreasing pieces leave less
+        packer = Packer(length, 1)  # one window at a time is filled to the end
+        for r in sorted(rows, key=lambda r: -r["length"]):  # stable
             packer.add(r["doc_id"], r["ids"], r["start"], r["doc_tokens"])
         base = (level << 56) | (key[0].as_py() << 32)
         parts = [_rows(packer.take(), base, False, False), _rows(packer.rest(), base, not final, not final)]
@@ -124,6 +124,7 @@ def _merge(level: int, length: int, most: int, final: bool):
 def pack(docs: DataFrame, end: int = 2, length: int = LENGTH, open_windows: int = OPEN, vocabulary: str = VOCABULARY) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    small_batches(docs.sparkSession)
     schema = SCHEMA + ", ids binary"
     first, _ = stored(docs.mapInArrow(_pack(_path(vocabulary), end, length, open_windows), schema), "packed")
     done = [first.where("not open").drop("open", "ids")]
@@ -133,7 +134,7 @@ def pack(docs: DataFrame, end: int = 2, length: int = LENGTH, open_windows: int
         groups = -(-groups // MERGE)
         final = groups == 1
         number = F.expr("cast(((sequence_id & 72057594037927935) >> 32) div {} as int)".format(MERGE))
-        merged = left.groupBy(number.alias("g")).applyInArrow(_merge(level, length, open_windows, final), schema)
+        merged = left.groupBy(number.alias("g")).applyInArrow(_merge(level, length, final), schema)
         merged, _ = stored(merged, "merged")
         done.append(merged.where("not open").drop("open", "ids"))
         if final:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import small_batches, texts
 from .toxicity import training_rows
 
 PER_CLASS, MOST_LINES, STEPS, L2 = 3_000, 100, 150, 1e-3
@@ -211,6 +211,7 @@ def _score(shared, at: int, name: str):
 def scored(docs: DataFrame, model: Model | None, name: str = "__score") -> DataFrame:
     """The rows with all their columns and `name`, which they mustn't have yet."""
     docs = docs.withColumn("text", F.col("text").cast("string"))
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", `{name}` double"
     return docs.mapInArrow(_score(shared, docs.columns.index("text"), name), schema)

@@ -23,7 +23,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, stored, texts
+from .common import new_path, small_batches, stored, texts
 
 VOCABULARY = "word_bpe_49k.json"
 SCHEMA = "doc_id long, row long, ids array<int>"
@@ -149,6 +149,7 @@ def read_sums(rows: DataFrame) -> DataFrame:
 
 def round_trip(docs: DataFrame, end: int = 1, vocabulary: str = VOCABULARY) -> DataFrame:
     """Write the ids of all documents and describe them as read back."""
+    small_batches(docs.sparkSession)
     path = new_path(docs.sparkSession, "tokens")
     write_orc(docs, path, end, vocabulary)
     return read_sums(read_orc(docs.sparkSession, path))

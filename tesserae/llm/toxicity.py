@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, stored
+from .common import fresh, small_batches, stored
 
 # Identity terms by group. Terms of a group stand for one another.
 IDENTITY = {
@@ -146,7 +146,8 @@ def sample(labels: DataFrame, label: str, usable: Column, per_class: int) -> Dat
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_class: int) -> DataFrame:
     """(label, text) of the sample, whose size is bounded, so it is broadcast."""
     chosen, _ = stored(sample(labels, label, usable, per_class), "sample")
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["__id"]).select("label", F.col("text").cast("string").alias("text"))
+    own = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("text"))
+    rows = own.join(F.broadcast(chosen), "__id").select("label", "text")
     return stored(rows, "training")[0]
 
 
@@ -190,6 +191,7 @@ def _score(shared, at: int, name: str):
 def scored(docs: DataFrame, model: Model, name: str = "__score") -> DataFrame:
     """The rows with all their columns and `name`, which they mustn't have yet."""
     docs = docs.withColumn("text", F.col("text").cast("string"))
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", `{name}` double"
     return docs.mapInArrow(_score(shared, docs.columns.index("text"), name), schema)
