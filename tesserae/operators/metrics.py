@@ -74,3 +74,26 @@ def release_gate(arms: DataFrame, partition: list[str], score: str, tie: list, l
     out = out.withColumn("passes", (F.col(score) >= least) & (F.col("delta") <= most_delta))
     order = F.row_number().over(group.orderBy(F.desc("passes"), F.desc(score), *tie))
     return out.withColumn("chosen", F.col("passes") & (order == 1))
+
+
+def answer_evaluation(answers: DataFrame, keys: list[str], status: str, latency: str, metrics: list[str]) -> DataFrame:
+    """Counts by status, nearest-rank percentiles of latency and means of metrics for each key."""
+    return answers.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.count_if(F.col(status) == "completed").alias("n_completed"), F.count_if(F.col(status) == "failed").alias("n_failed"),
+        F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {latency})").alias("p50"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {latency})").alias("p95"),
+        *[F.avg(m).alias(m) for m in metrics],
+    )
+
+
+def evidence_gate(samples: DataFrame, baseline: str, candidate: str, baseline_ms: str, candidate_ms: str, least_gain: int, most_ms: float) -> DataFrame:
+    """One row: correct answers of both sides, gain in basis points (whole numbers), mean latency change and the decision."""
+    n = F.count("*")
+    out = samples.agg(n.alias("n"), F.count_if(baseline).alias("n_baseline"), F.count_if(candidate).alias("n_candidate"), F.avg(F.col(candidate_ms) - F.col(baseline_ms)).alias("latency_change"))
+    gain = F.when(F.col("n") > 0, F.call_function("div", (F.col("n_candidate") - F.col("n_baseline")) * 10_000, F.col("n")))
+    return out.withColumn("gain", gain).withColumn("decision", F.when(F.col("n") == 0, "no_evidence").when(F.col("gain") < least_gain, "keep").when(F.col("latency_change") > most_ms, "too_slow").otherwise("adopt"))
+
+
+def route_benchmark(runs: DataFrame, keys: list[str], levels: str, correct: str, exact: str, found: str) -> DataFrame:
+    """Ratios of levels whose first choice was right, of exact paths and of rows found."""
+    ratio = lambda a, b: a / F.nullif(b, F.lit(0))
+    return runs.groupBy(*keys).agg(F.count("*").alias("n_runs"), ratio(F.sum(correct), F.sum(levels)).alias("level_top1"), ratio(F.count_if(exact), F.count("*")).alias("exact_path"), ratio(F.count_if(found), F.count("*")).alias("row_found"))

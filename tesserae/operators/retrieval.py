@@ -59,3 +59,16 @@ def byte_budget(rows: DataFrame, json: Column, order: list, budget: int, part: l
     bounded by its LIMIT before this, so the running sum is over few rows."""
     own = Window.partitionBy(*(part or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("bytes_so_far", F.sum(F.octet_length(json) + 1).over(own) + 1).where(F.col("bytes_so_far") <= budget)
+
+
+def surface_digest(*parts: Column) -> Column:
+    """Digest of what a route shows of itself; a vector made from another surface is stale."""
+    return F.sha2(F.concat_ws("\u0001", *[F.coalesce(p.cast("string"), F.lit("\u0000")) for p in parts]), 256)
+
+
+def discovery_frame(batches: DataFrame, order: list, most: int, budget: int, json: Column) -> DataFrame:
+    """Candidates of all predictors in order while both the number and the bytes hold; the first that doesn't fit ends the list."""
+    own = Window.partitionBy(F.lit(0)).orderBy(*order)
+    head = batches.orderBy(*order).limit(most + 1)  # bounded, so one task may number it
+    out = head.withColumns({"place": F.row_number().over(own), "bytes_so_far": F.sum(F.octet_length(json) + 1).over(own.rowsBetween(Window.unboundedPreceding, 0)) + 1})
+    return out.where((F.col("place") <= most) & (F.col("bytes_so_far") <= budget))

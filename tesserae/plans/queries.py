@@ -458,3 +458,77 @@ def ext_window_topn(spark, sf_dir):
     """Extension: each customer's three largest orders."""
     r = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
     return table(spark, sf_dir, "orders").withColumn("r", r).where("r <= 3").select("o_custkey", "o_orderkey", "r")
+
+
+@query("""SELECT event_type, count(*) AS n, count_if(user_id % 3 = 0) AS n_completed, count_if(user_id % 3 = 1) AS n_failed, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, round(avg(value), 6) AS value FROM events GROUP BY event_type""")
+def answer_evaluation(spark, sf_dir):
+    answers = table(spark, sf_dir, "events").withColumn("status", F.when(F.col("user_id") % 3 == 0, "completed").when(F.col("user_id") % 3 == 1, "failed").otherwise("open"))
+    return metrics.answer_evaluation(answers, ["event_type"], "status", "value", ["value"]).withColumn("value", F.round("value", 6))
+
+
+@query("""WITH g AS (SELECT count(*) AS n, count_if(value > 60) AS n_baseline, count_if(value > 40) AS n_candidate, round(avg(user_id - value), 6) AS latency_change FROM events)
+  SELECT *, CAST((n_candidate - n_baseline) * 10000 // n AS BIGINT) AS gain, CASE WHEN (n_candidate - n_baseline) * 10000 // n < 500 THEN 'keep' WHEN latency_change > 100 THEN 'too_slow' ELSE 'adopt' END AS decision FROM g""")
+def evidence_gate(spark, sf_dir):
+    samples = table(spark, sf_dir, "events").select((F.col("value") > 60).alias("a"), (F.col("value") > 40).alias("b"), F.col("value").alias("ma"), F.col("user_id").alias("mb"))
+    return metrics.evidence_gate(samples, "a", "b", "ma", "mb", 500, 100.0).withColumn("latency_change", F.round("latency_change", 6))
+
+
+@query("""SELECT l_linestatus, count(*) AS n_runs, round(sum(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END) / CAST(sum(l_linenumber) AS DOUBLE), 6) AS level_top1, round(count_if(l_discount > 0.05) / CAST(count(*) AS DOUBLE), 6) AS exact_path, round(count_if(l_tax > 0.02) / CAST(count(*) AS DOUBLE), 6) AS row_found FROM lineitem GROUP BY l_linestatus""")
+def route_benchmark(spark, sf_dir):
+    runs = table(spark, sf_dir, "lineitem").select("l_linestatus", "l_linenumber", F.when(F.col("l_quantity") > 25, 1).otherwise(0).alias("c"), (F.col("l_discount") > 0.05).alias("e"), (F.col("l_tax") > 0.02).alias("f"))
+    return metrics.route_benchmark(runs, ["l_linestatus"], "l_linenumber", "c", "e", "f").withColumns({c: F.round(c, 6) for c in ("level_top1", "exact_path", "row_found")})
+
+
+@query("SELECT p_partkey, sha256(concat(p_name, chr(1), p_brand, chr(1), p_type)) AS digest FROM part")
+def surface_digests(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", retrieval.surface_digest(F.col("p_name"), F.col("p_brand"), F.col("p_type")).alias("digest"))
+
+
+@query("""SELECT p_partkey, bytes_so_far FROM (SELECT p_partkey, CAST(row_number() OVER w AS BIGINT) AS place, CAST(sum(strlen(p_name) + 1) OVER (ORDER BY p_retailprice DESC, p_partkey ROWS UNBOUNDED PRECEDING) + 1 AS BIGINT) AS bytes_so_far FROM part WINDOW w AS (ORDER BY p_retailprice DESC, p_partkey)) WHERE place <= 64 AND bytes_so_far <= 700""")
+def discovery_frame(spark, sf_dir):
+    out = retrieval.discovery_frame(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice"), [F.desc("p_retailprice"), "p_partkey"], 64, 700, F.col("p_name"))
+    return out.select("p_partkey", F.col("bytes_so_far").cast("long").alias("bytes_so_far"))
+
+
+@query("SELECT l_suppkey AS leaf_id, l_orderkey AS row_id, l_linenumber AS revision, current FROM lineitem JOIN (SELECT l_orderkey AS k, max(l_linenumber) AS current FROM lineitem GROUP BY l_orderkey) ON l_orderkey = k WHERE l_linenumber < current")
+def stale_membership(spark, sf_dir):
+    members = _members(spark, sf_dir)
+    return health.stale_memberships(members, members.groupBy("row_id").agg(F.max("revision").alias("revision"))).select("leaf_id", "row_id", "revision", "current")
+
+
+@query("""SELECT p_brand AS table_id, p_size AS type, lower(regexp_replace(p_type, '[^A-Za-z0-9]+', ' ', 'g')) AS purpose, count(*) AS n_columns FROM part GROUP BY ALL HAVING count(*) > 1""")
+def synonymous_columns(spark, sf_dir):
+    columns = table(spark, sf_dir, "part").select(F.col("p_brand").alias("table_id"), F.col("p_size").alias("type"), F.lit(True).alias("nullable"), F.col("p_type").alias("purpose"), F.col("p_name").alias("name"))
+    return health.synonymous_columns(columns).select("table_id", "type", "purpose", "n_columns")
+
+
+@query("SELECT o_custkey AS table_id FROM orders GROUP BY o_custkey HAVING max(o_orderdate) > min(o_orderdate) + INTERVAL 30 DAY")
+def stale_description(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("table_id"), F.col("o_orderdate").alias("updated_at"))
+    return health.stale_descriptions(rows.groupBy("table_id").agg(F.min("updated_at").alias("updated_at")), rows).select("table_id")
+
+
+@query("SELECT 'crowded' AS kind, CAST(l_suppkey AS VARCHAR) AS object_id, CAST(count(DISTINCT l_orderkey) AS VARCHAR) AS detail FROM lineitem GROUP BY l_suppkey HAVING count(DISTINCT l_orderkey) > 1 UNION ALL SELECT 'unrouted', CAST(c_custkey AS VARCHAR), 'row' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0) ORDER BY kind, object_id, detail LIMIT 512")
+def health_report(spark, sf_dir):
+    crowded = health.crowded_leaves(_members(spark, sf_dir)).select(F.lit("crowded").alias("kind"), F.col("leaf_id").cast("string").alias("object_id"), F.col("n_rows").cast("string").alias("detail"))
+    unrouted = QUERIES["unrouted_rows"](spark, sf_dir).select(F.lit("unrouted").alias("kind"), F.col("row_id").cast("string").alias("object_id"), F.lit("row").alias("detail"))
+    return health.issue_report([crowded, unrouted])
+
+
+@query("SELECT event_id FROM events WHERE ts + INTERVAL 30 DAY > TIMESTAMP '2024-02-15'")
+def trace_retention(spark, sf_dir):
+    from ..streaming import retained
+
+    traces = table(spark, sf_dir, "events").select("event_id", (F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("expires_at"))
+    return retained(traces, F.expr("TIMESTAMP_NTZ '2024-02-15 00:00:00'")).select("event_id")
+
+
+@query("WITH j AS (SELECT user_id AS job_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq, event_id FROM events) SELECT job_id, seq FROM j WHERE seq > 0 AND event_id % 50 = 0")
+def journal_breaks(spark, sf_dir):
+    """A hash chain in which every fiftieth event was put in wrongly."""
+    from ..streaming import chain_breaks
+
+    own = Window.partitionBy("user_id").orderBy("event_id")
+    journal = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), (F.row_number().over(own) - 1).cast("long").alias("seq"), F.sha2(F.col("event_id").cast("string"), 256).alias("hash"), "event_id", "user_id")
+    journal = journal.withColumn("previous", F.when(F.col("event_id") % 50 == 0, F.when(F.col("seq") > 0, "wrong")).otherwise(F.lag("hash").over(own)))
+    return chain_breaks(journal).select("job_id", "seq")
