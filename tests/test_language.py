@@ -133,3 +133,28 @@ def test_access(session, spark):
     insert(session, title="x")
     assert code(Session(spark, session.log.root, read_only=True).execute, "DELETE FROM d.t") == "permission_denied"
     assert code(Session(spark, session.log.root, databases=["other"]).execute, "SELECT title FROM d.t LIMIT 1") == "not_found"
+
+
+def test_schema_plan(session):
+    insert(session, title="a long title", count=1)
+    changes = [{"op": "add", "name": "extra", "type": "TEXT"}, {"op": "rename", "column": "count", "to": "n"}, {"op": "alter", "column": "done", "nullable": False}]
+    plan = session.execute("PLAN SCHEMA CHANGE FOR TABLE d.t USING :c", {"c": changes}).rows[0]
+    assert plan["blockers"] == [{"change": 2, "reason": "1 rows are null"}]
+    plan = session.execute("PLAN SCHEMA CHANGE FOR TABLE d.t USING :c", {"c": changes[:2]}).rows[0]
+    assert plan["blockers"] == []
+    assert code(session.execute, "APPLY SCHEMA CHANGE PLAN :p FOR TABLE d.t", {"p": plan}) == "permission_denied"
+    session.execute("APPLY SCHEMA CHANGE PLAN :p FOR TABLE d.t", {"p": plan}, approved_hash=plan["plan_hash"])
+    assert session.execute("SELECT n, extra FROM d.t LIMIT 1").rows == [{"n": 1, "extra": None}]
+    assert code(session.execute, "APPLY SCHEMA CHANGE PLAN :p FOR TABLE d.t", {"p": plan}, approved_hash=plan["plan_hash"]) == "revision_conflict"
+
+
+def test_vectors(session):
+    root = session.execute("CREATE ROUTE ROOT FOR TABLE d.t PURPOSE 'root'").rows[0]["route_id"]
+    a, b = (session.execute("CREATE ROUTE UNDER :p NAME :n KIND 'branch' PURPOSE 'x'", {"p": root, "n": n}).rows[0]["route_id"] for n in "ab")
+    assert session.publish_vectors("s", {a: [1.0, 0.0], b: [0.6, 0.8]}, {"model": "m"}) == 1
+    find = lambda: [(r["route_id"], round(r["score"], 6)) for r in session.execute("SHOW ROUTE CANDIDATES FROM ALL TABLES USING VECTOR :q SPACE 's' LIMIT 5 BYTES 4096", {"q": [0.0, 1.0]}).rows]
+    assert find() == [(b, 0.8), (a, 0.0)]
+    session.execute("ALTER ROUTE :r SET SYNOPSIS 'changed'", {"r": b})
+    assert find() == [(a, 0.0)]  # the vector of a changed route is stale
+    with pytest.raises(StatementError):
+        session.publish_vectors("s", {a: [2.0, 0.0]}, {})
