@@ -158,3 +158,18 @@ def test_vectors(session):
     assert find() == [(a, 0.0)]  # the vector of a changed route is stale
     with pytest.raises(StatementError):
         session.publish_vectors("s", {a: [2.0, 0.0]}, {})
+
+
+def test_packages(session, spark, tmp_path):
+    from tesserae.store import packages
+    from tesserae.store.log import CommitLog
+
+    i = insert(session, title="kept", count=3)
+    session.execute("DELETE FROM d.t WHERE row_id = :r", {"r": insert(session, title="gone")})
+    path, database = f"file://{tmp_path}/p", session._database("d")["database_id"]
+    packages.pack(session.log, database, path, b"key")
+    other = CommitLog(spark, f"file://{tmp_path}/other")
+    assert code(packages.install, other, path, b"wrong") == "permission_denied"
+    packages.install(other, path, b"key")
+    assert code(packages.install, other, path) == "already_exists"
+    assert Session(spark, other.root).execute("SELECT row_id, title, count FROM d.t LIMIT 5").rows == [{"row_id": i, "title": "kept", "count": 3}]
