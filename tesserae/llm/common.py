@@ -38,10 +38,13 @@ def remove(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write a frame to the shared folder and read it back: lineage ends there, on replicated storage."""
+def stored(df: DataFrame, name: str, few: bool = False) -> tuple[DataFrame, str]:
+    """Write a frame to the shared folder and read it back: lineage ends there, on replicated storage.
+    few: rows are few beside the corpus, so four files for each core of the cluster are enough."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    if few:
+        df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -112,12 +112,12 @@ def disclosing_terms(base: DataFrame, reach: int = REACH, support: int = SUPPORT
     before = F.when(F.col("s.start") > reach, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before)
     after = F.when(F.char_length("text") > F.col("s.end") + reach, F.regexp_replace(after, r"\p{L}+$", "")).otherwise(after)
     near = found.select("key", F.md5(F.lower(F.col("s.value"))).alias("value"), F.explode(_words(F.concat_ws(" ", before, after))).alias("term")).distinct()
-    near, _ = stored(near, "pii-near")
+    near, _ = stored(near, "pii-near", few=True)
     # a term near other values in more texts than `generalise` allows can't pass, wherever else it stands
     least = near.select("key", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
     pairs = near.groupBy("term", "value").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
     pairs = pairs.join(least, "term").where(F.col("n_both") >= generalise * F.col("n_near")).drop("n_near")
-    pairs, _ = stored(pairs, "pii-pairs")
+    pairs, _ = stored(pairs, "pii-pairs", few=True)
     test = _bit_test(pairs.select("term"))
     if test is None:
         return pairs.select("term", F.lit(1.0).alias("disclosure"))
@@ -149,8 +149,8 @@ def find(docs: DataFrame, **thresholds: float) -> DataFrame:
     """Per row: doc_id, key, text, spans of each base kind and of disclosing terms."""
     base = with_base(docs)
     light, _ = stored(base.drop("text"), "pii-base")
-    terms, _ = stored(disclosing_terms(base, **thresholds), "pii-terms")
-    spans, _ = stored(term_spans(base, terms), "pii-spans")
+    terms, _ = stored(disclosing_terms(base, **thresholds), "pii-terms", few=True)
+    spans, _ = stored(term_spans(base, terms), "pii-spans", few=True)
     return light.join(spans, "key", "left").withColumn("term", F.coalesce("term", F.array().cast("array<struct<start:int,end:int,removed:boolean>>")))
 
 
