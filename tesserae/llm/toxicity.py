@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, small_batches, stored
+from .common import fresh, released, small_batches, stored
 
 # Identity terms by group. Terms of a group stand for one another.
 IDENTITY = {
@@ -171,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
     return Model({f: float(v) for f, v in zip(names, w, strict=True) if v}, b)
 
 
-CACHE = 300_000
+CACHE = 100_000
 
 
 def _score(shared, at: int, name: str):
@@ -184,6 +184,8 @@ def _score(shared, at: int, name: str):
                 if len(cache) > CACHE:
                     cache.clear()
             yield pa.record_batch([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
+        cache.clear()
+        released()
 
     return run
 
