@@ -3,12 +3,17 @@
 Base kinds (email, ip, card, phone) are leftmost non-overlapping matches, those that fail a kind's test dropped.
 Patterns are possessive and start at the border of a run, which changes no match but keeps long runs linear.
 
-Terms: lower-cased words (letters) that stand within `reach` characters of a base match are counted with the
-protected value, over distinct texts of the whole corpus. For a term t and a value e the disclosure is
-P(e | t) = texts with t near e / texts with t, and the gain is log2(P(e | t) / P(e)) bits. A pair with
-at least `support` texts and `bits` of gain marks t: it is removed from `remove` up and generalised to
-[TERM] from `generalise` up, wherever it stands. Words of all documents are compared with a Bloom filter of
-the terms (2^17 bits, whatever their number) before the exact join, so few words are shuffled.
+Terms: lower-cased words (letters) outside base matches are counted with the protected values of their text, over distinct
+whole texts of the corpus. For a term t and a value e the disclosure is P(e | t) = texts with both / texts with t, and the
+gain is log2(P(e | t) / P(e)) bits. A pair with at least `support` texts, `bits` of gain and `generalise` of disclosure marks t,
+if t stands between at least `support` different pairs of neighbouring words (copies of one passage are one piece of evidence):
+it is removed from `remove` up and generalised to [TERM] below that, wherever it stands.
+
+Pairs are counted where they can pass alone. A value needs `support` texts, and not more than the share of the corpus that
+`bits` allows; a term needs `support` of the texts with such values, and not more than the commonest value has over
+`generalise`. A text gives as many pairs as it has such values times such terms, and they are added up before
+they are shuffled. Words of all documents are compared with a Bloom filter of the terms (16 bits a term, half a
+MB at most; beyond that it lets more words through) before the exact join, so few words are shuffled.
 
 Null text is empty: no spans. Equal texts have equal spans. Terms that overlap base matches aren't spans.
 """
@@ -18,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh, remove, stored
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -28,11 +33,13 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 HINTS = {"email": "@", "ip": ".", "phone": "+"}
-REACH, SUPPORT, BITS, REMOVE, GENERALISE = 40, 3, 4.0, 0.9, 0.6
+SUPPORT, BITS, REMOVE, GENERALISE = 3, 4.0, 0.9, 0.6
 WORD = r"\p{L}+"
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 _PART = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.|$)){4}$"
-_HASH_BITS = 17
+MOST_HASH_BITS = 22
+_TERM_SPANS = "array<struct<start:int,end:int,removed:boolean>>"
+_ANY = " or ".join(f"size({k}) > 0" for k in KINDS)
 
 
 def _digits(value: Column) -> Column:
@@ -78,80 +85,116 @@ def with_base(docs: DataFrame) -> DataFrame:
 
 
 def _words(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), 0))
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), 0)
 
 
-def _spots(term: Column) -> tuple[Column, Column]:
-    h, n = F.xxhash64(term), F.lit(1 << _HASH_BITS)
-    return F.pmod(h, n).cast("int"), F.pmod(F.shiftright(h, 24), n).cast("int")
+def _outside(text: Column) -> Column:
+    """The text with base matches left out."""
+    spans = F.array_sort(F.concat(*[F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS]))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
+    def step(acc: Column, s: Column) -> Column:
+        parts = F.array_append(acc["parts"], F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), parts.alias("parts"))
 
-def _bit_test(terms: DataFrame):
-    """A test that every term passes and few other words do: a Bloom filter of fixed size, so the driver can hold it."""
-    spots = terms.select(F.explode(F.array(*_spots(F.col("term")))).alias("h"))
-    rows = spots.select(F.shiftright("h", 6).alias("i"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("h", F.lit(64)).cast("int")).alias("b")).groupBy("i").agg(F.bit_or("b").alias("b")).collect()
-    if not rows:
+    return F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["parts"], " "), F.lit(" "), F.substr(text, acc["at"] + 1, F.char_length(text))))
+
+
+def _bit_test(terms: DataFrame, n: int):
+    """A test that each of n terms passes and few other words do: a Bloom filter of bounded size, which the driver can hold."""
+    if not n:
         return None
-    held = {r["i"]: r["b"] for r in rows}
-    array = F.expr("array(" + ",".join(f"{held[i]}L" if i in held and held[i] != -(1 << 63) else ("shiftleft(1L,63)" if i in held else "0L") for i in range(1 << (_HASH_BITS - 6))) + ")")
+    bits = min(MOST_HASH_BITS, max(10, (16 * n - 1).bit_length()))
+
+    def spots(term: Column) -> tuple[Column, Column]:
+        h = F.xxhash64(term)
+        return F.pmod(h, F.lit(1 << bits)).cast("int"), F.pmod(F.shiftright(h, 32), F.lit(1 << bits)).cast("int")
+
+    held = terms.select(F.explode(F.array(*spots(F.col("term")))).alias("h"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("h", F.lit(64)).cast("int"))
+    rows = held.select(F.shiftright("h", 6).alias("i"), bit.alias("b")).groupBy("i").agg(F.bit_or("b").alias("b")).collect()
+    words = ["0"] * (1 << (bits - 6))
+    for r in rows:
+        words[r["i"]] = str(r["b"])
+    array = F.split(F.lit(",".join(words)), ",").cast("array<long>")  # folded into one literal
 
     def test(word: Column) -> Column:
-        one, two = (F.getbit(F.get(array, F.shiftright(h, 6)), F.pmod(h, F.lit(64)).cast("int")) == 1 for h in _spots(word))
+        one, two = (F.getbit(F.get(array, F.shiftright(h, 6)), F.pmod(h, F.lit(64)).cast("int")) == 1 for h in spots(word))
         return one & two
 
     return test
 
 
-def disclosing_terms(base: DataFrame, reach: int = REACH, support: int = SUPPORT, bits: float = BITS, generalise: float = GENERALISE) -> DataFrame:
-    """(term, disclosure): words that give a protected value away. `base` has key, text and the base spans."""
-    spans = F.concat(*[F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))) for k in KINDS])
-    found = base.where(" or ".join(f"size({k}) > 0" for k in KINDS)).select("key", "text", F.explode(spans).alias("s"))
-    before = F.substr("text", F.greatest(F.col("s.start") - reach, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(reach)))
-    after = F.substr("text", F.col("s.end") + 1, F.lit(reach))
-    # a word that the reach cuts in two isn't counted
-    before = F.when(F.col("s.start") > reach, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before)
-    after = F.when(F.char_length("text") > F.col("s.end") + reach, F.regexp_replace(after, r"\p{L}+$", "")).otherwise(after)
-    near = found.select("key", F.md5(F.lower(F.col("s.value"))).alias("value"), F.explode(_words(F.concat_ws(" ", before, after))).alias("term")).distinct()
-    near, _ = stored(near, "pii-near", few=True)
-    # a term near other values in more texts than `generalise` allows can't pass, wherever else it stands
-    least = near.select("key", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    pairs = near.groupBy("term", "value").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    pairs = pairs.join(least, "term").where(F.col("n_both") >= generalise * F.col("n_near")).drop("n_near")
-    pairs, _ = stored(pairs, "pii-pairs", few=True)
-    test = _bit_test(pairs.select("term"))
+def disclosing_terms(light: DataFrame, texts: DataFrame, support: int = SUPPORT, bits: float = BITS, generalise: float = GENERALISE) -> tuple[DataFrame, int, list[str]]:
+    """(term, disclosure) of words that give a protected value away, their number, and the folders in use. `light` has the keys and base
+    spans of all rows, and the texts of those with a match; `texts` has the key and text of all."""
+    spark, paths = light.sparkSession, []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df, path = stored(df, name, few=True)
+        paths.append(path)
+        return df
+
+    none = spark.createDataFrame([], "term string, disclosure double"), 0, paths
+    values = F.array_distinct(F.concat(*[F.transform(k, lambda s: F.md5(F.lower(s["value"]))) for k in KINDS]))
+    n_texts = light.select("key").distinct().count()
+    owned = light.where(_ANY).select("key", F.explode(values).alias("value")).distinct()
+    live = keep(owned.groupBy("value").agg(F.count("*").alias("n_value")).where((F.col("n_value") >= support) & (F.log2(F.lit(float(n_texts)) / F.col("n_value")) >= bits)), "pii-values")
+    most = live.agg(F.max("n_value")).first()[0]
+    if most is None:
+        return none
+    owned = keep(owned.join(live, "value").groupBy("key").agg(F.collect_list("value").alias("values")), "pii-owned")
+    body = light.where(_ANY).select("key", "text", *KINDS).dropDuplicates(["key"]).join(owned, "key")
+    body = keep(body.select("values", _words(_outside(F.col("text"))).alias("words")), "pii-live")
+    near = F.col("words")
+    around = F.transform(near, lambda w, i: F.struct(w.alias("term"), F.xxhash64(F.get(near, i - 1), F.get(near, i + 1)).alias("between")))
+    settings = body.select(F.explode(F.array_distinct(around)).alias("w")).select("w.term", "w.between").distinct().groupBy("term").agg(F.count("*").alias("n_between"))
+    terms = body.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
+    terms = terms.where((F.col("n_near") >= support) & (F.col("n_near") * generalise <= most)).join(settings.where(F.col("n_between") >= support).select("term"), "term", "left_semi")
+    terms = keep(terms, "pii-words")
+    test = _bit_test(terms, terms.count())
+    if test is None:
+        return none
+    pairs = body.select("values", F.explode(F.filter(F.array_distinct("words"), test)).alias("term")).join(terms.select("term"), "term", "left_semi")
+    pairs = pairs.select("term", F.explode("values").alias("value")).groupBy("term", "value").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
+    pairs = pairs.join(terms, "term").where(F.col("n_both") >= generalise * F.col("n_near")).join(live, "value")
+    pairs = keep(pairs.where(F.log2(F.col("n_both") / F.col("n_near") * n_texts / F.col("n_value")) >= bits), "pii-pairs")
+    chosen = keep(pairs.select("term").distinct(), "pii-chosen")
+    test = _bit_test(chosen, chosen.count())
     if test is None:
-        return pairs.select("term", F.lit(1.0).alias("disclosure"))
-    terms = pairs.select("term").distinct()
-    seen = base.select("key", F.explode(F.filter(_words(F.col("text")), test)).alias("term")).distinct()
-    n_term = seen.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    n_value = found.select("key", F.md5(F.lower(F.col("s.value"))).alias("value")).distinct().groupBy("value").agg(F.count("*").alias("n_value"))
-    n_texts = base.select("key").distinct().count()
-    judged = pairs.join(n_term, "term").join(n_value, "value").withColumn("p", F.col("n_both") / F.col("n_term"))
+        return none
+    seen = texts.select("key", F.explode(F.array_distinct(F.filter(_words(F.col("text")), test))).alias("term")).distinct()
+    n_term = seen.join(chosen, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    judged = pairs.join(n_term, "term").withColumn("p", F.col("n_both") / F.col("n_term"))
     judged = judged.where((F.col("p") >= generalise) & (F.log2(F.col("p") * n_texts / F.col("n_value")) >= bits))
-    return judged.groupBy("term").agg(F.max("p").alias("disclosure"))
+    judged = keep(judged.groupBy("term").agg(F.max("p").alias("disclosure")), "pii-terms")
+    return judged, judged.count(), paths
 
 
-def term_spans(base: DataFrame, terms: DataFrame, remove: float = REMOVE) -> DataFrame:
+def term_spans(light: DataFrame, texts: DataFrame, terms: DataFrame, n: int, remove: float = REMOVE) -> DataFrame:
     """(key, term: spans of disclosing words that don't touch base spans) of the texts that have any."""
-    test = _bit_test(terms.select("term"))
+    test = _bit_test(terms, n)
     if test is None:
-        return base.where("false").select("key", F.array().cast("array<struct<start:int,end:int,removed:boolean>>").alias("term"))
-    some = base.where(F.exists(_words(F.col("text")), test))
-    places = some.select("key", *KINDS, F.explode(occurrences(F.col("text"), WORD, lambda w: test(F.lower(w)))).alias("s"))
-    for k in KINDS:
-        places = places.where(~F.exists(k, lambda b: (b["start"] < F.col("s.end")) & (F.col("s.start") < b["end"])))
+        return light.where("false").select("key", F.array().cast(_TERM_SPANS).alias("term"))
+    some = texts.where(F.exists(_words(F.col("text")), test))
+    places = some.select("key", F.explode(occurrences(F.col("text"), WORD, lambda w: test(F.lower(w)))).alias("s"))
     places = places.select("key", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.lower(F.col("s.value")).alias("term")).distinct()
     hits = places.join(terms, "term").select("key", F.struct("start", "end", (F.col("disclosure") >= remove).alias("removed")).alias("s"))
-    return hits.groupBy("key").agg(F.array_sort(F.collect_set("s")).alias("term"))
+    hits = hits.groupBy("key").agg(F.array_sort(F.collect_set("s")).alias("term"))
+    base = light.where(_ANY).select("key", F.concat(*KINDS).alias("base")).dropDuplicates(["key"])
+    hits = hits.join(base, "key", "left")
+    clear = F.filter("term", lambda s: ~F.exists(F.coalesce("base", F.array().cast(_SPAN)), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    return hits.select("key", clear.alias("term")).where("size(term) > 0")
 
 
-def find(docs: DataFrame, **thresholds: float) -> DataFrame:
-    """Per row: doc_id, key, text, spans of each base kind and of disclosing terms."""
-    base = with_base(docs)
-    light, _ = stored(base.drop("text"), "pii-base")
-    terms, _ = stored(disclosing_terms(base, **thresholds), "pii-terms", few=True)
-    spans, _ = stored(term_spans(base, terms), "pii-spans", few=True)
-    return light.join(spans, "key", "left").withColumn("term", F.coalesce("term", F.array().cast("array<struct<start:int,end:int,removed:boolean>>")))
+def find(docs: DataFrame, remove_from: float = REMOVE, **thresholds: float) -> DataFrame:
+    """Per row: doc_id, key, spans of each base kind and of disclosing terms."""
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(F.md5("text").alias("key"), "text")
+    light, _ = stored(with_base(docs).withColumn("text", F.when(F.expr(_ANY), F.col("text"))), "pii-base")
+    terms, n, paths = disclosing_terms(light, texts, **thresholds)
+    spans, _ = stored(term_spans(light, texts, terms, n, remove_from), "pii-spans", few=True)
+    remove(docs.sparkSession, *paths)
+    return light.drop("text").join(spans, "key", "left").withColumn("term", F.coalesce("term", F.array().cast(_TERM_SPANS)))
 
 
 def labelled(kind: str) -> Column:
@@ -163,22 +206,25 @@ def sanitise(docs: DataFrame, **thresholds: float) -> DataFrame:
     """The input's rows with base matches replaced by [EMAIL] and so on, disclosing terms removed or generalised to
     [TERM], and n_chars, where there is one, counted anew. Where spans overlap, the earliest and then the longest stays; null texts stay null."""
     found = find(docs, **thresholds)
+    own, key, all_marks = (fresh(docs, c) for c in ("own", "key", "marks"))
+
     def mark(spans: str, of) -> Column:
         return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), of(s).alias("mark")))
 
     base = [mark(k, (lambda text: lambda s: F.lit(text))(f"[{k.upper()}]")) for k in KINDS]
     marks = F.concat(*base, mark("term", lambda s: F.when(s["removed"], "").otherwise("[TERM]")))
-    marks = found.select(F.col("key").alias("__key"), F.array_sort(marks).alias("__marks")).where("size(__marks) > 0").groupBy("__key").agg(F.first("__marks").alias("__marks"))
-    out = docs.withColumn("__own", F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    out = out.join(marks, out["__own"] == marks["__key"], "left")
+    marks = found.select(F.col("key").alias(key), F.array_sort(marks).alias(all_marks)).where(F.size(all_marks) > 0).groupBy(key).agg(F.first(all_marks).alias(all_marks))
+    out = docs.withColumn(own, F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    out = out.join(marks, out[own] == marks[key], "left")
 
     def step(acc: Column, m: Column) -> Column:
-        fresh = m["start"] >= acc["at"]
+        new = m["start"] >= acc["at"]
         kept = F.concat(acc["out"], F.substr("text", acc["at"] + 1, m["start"] - acc["at"]), m["mark"])
-        return F.struct(F.when(fresh, -m["back"]).otherwise(acc["at"]).alias("at"), F.when(fresh, kept).otherwise(acc["out"]).alias("out"))
+        return F.struct(F.when(new, -m["back"]).otherwise(acc["at"]).alias("at"), F.when(new, kept).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate("__marks", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr("text", acc["at"] + 1, F.char_length("text"))))
-    out = out.withColumn("text", F.when(F.col("__marks").isNull() | F.col("text").isNull(), F.col("text")).otherwise(clean))
+    clean = F.aggregate(all_marks, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr("text", acc["at"] + 1, F.char_length("text"))))
+    marked = F.col(all_marks).isNotNull() & F.col("text").isNotNull()
+    out = out.withColumn("text", F.when(marked, clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__marks").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(marked, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -1,5 +1,7 @@
 import hashlib
+import math
 import random
+import re
 import sys
 import zlib
 from pathlib import Path
@@ -211,14 +213,54 @@ def test_pii(spark):
     assert pii.sanitise(df.where("false")).count() == 0
 
 
+def disclosed(texts, support=3, bits=4.0, generalise=0.6):
+    """Words that give a base match away, by brute force: {word: disclosure}."""
+    def words(t):
+        return re.findall(r"[^\W\d_]+", t.lower())
+
+    body, own, near, settings = {}, {}, {}, {}
+    for t in {t or "" for t in texts}:
+        body[t] = set(words(t))
+        spans = sorted(s for k in brute.personal(t).values() for s in k)
+        own[t] = {t[a:b].lower() for a, b in spans}
+        cut = "".join(" " if any(a <= i < b for a, b in spans) else c for i, c in enumerate(t))
+        w = words(cut)
+        near[t] = set(w)
+        for k, x in enumerate(w):
+            settings.setdefault(x, {}).setdefault(t, set()).add((w[k - 1] if k else None, w[k + 1] if k + 1 < len(w) else None))
+    n_value = {e: sum(e in v for v in own.values()) for v in own.values() for e in v}
+    live = {e for e, n in n_value.items() if n >= support and math.log2(len(body) / n) >= bits}
+    out = {}
+    for x in settings:
+        mine = [t for t in near if x in near[t] and own[t] & live]
+        if len({s for t in mine for s in settings[x][t]}) < support:
+            continue
+        for e in live:
+            both = sum(e in own[t] for t in mine)
+            p = both / sum(x in w for w in body.values())
+            if both >= support and p >= generalise and math.log2(p * len(body) / n_value[e]) >= bits:
+                out[x] = max(out.get(x, 0), p)
+    return out
+
+
 def test_pii_terms(spark):
-    """A word that stands with one address in several texts gives it away; common words and words of two addresses don't."""
-    texts = [f"the zorblatt wrote to kim@corp.com about the plan number {n} of the year" for n in ("one", "two", "three", "four")]
-    texts += [f"the plan of {n} the year and the team" for n in "abcdefghijklmnopqrstuvwxyz"] + [f"the team mails u{k}@x.org and the rest" for k in range(30)]
-    found = {r["doc_id"]: [r["text"][s["start"] : s["end"]] for s in r["term"]] for r in pii.find(documents(spark, texts), bits=3.0).join(documents(spark, texts).select("doc_id", "text"), "doc_id").collect()}
-    assert all("zorblatt" in found[i] for i in range(4))
-    assert not any(w in ("the", "team", "plan") for f in found.values() for w in f)
-    assert "zorblatt" not in pii.sanitise(documents(spark, texts), bits=3.0).first()["text"]
+    """A word that stands with one address in several texts gives it away, however far off; common words, words of two addresses and words of copies of one passage don't."""
+    pad = " ".join(["the plan of the year and the team"] * 200)
+    texts = [f"the zorblatt wrote {n} {pad} to kim@corp.com about the plan number {n} of the year" for n in ("one", "two", "three", "four")]
+    texts[0] = texts[0].replace("the zorblatt wrote", "zorblatt")
+    texts[1] = texts[1].replace("zorblatt wrote", "zorblatt met")
+    texts += [f"the plan of {n} the year and the team" for n in "abcdefghijklmnopqrstuvwxyz"] * 3 + [f"the team mails u{k}@x.org and the rest" for k in range(90)]
+    texts += [f"team {k} a quirfel passage, lee@corp.com {k}" for k in range(5)] + [f"{n} is wembley kim@corp.com and lee@corp.com" for n in ("no", "yes", "perhaps", "never")]
+    docs = documents(spark, texts, key="k", own=1, marks="m", term=2)
+    found = {r["doc_id"]: r["term"] for r in pii.find(docs).collect()}
+    want = disclosed(texts)
+    assert "zorblatt" in want and not {"the", "team", "plan", "quirfel"} & set(want)
+    for i, t in enumerate(texts):
+        got = {(t[s["start"] : s["end"]].lower(), s["removed"]) for s in found[i]}
+        base = [s for k in brute.personal(t).values() for s in k]
+        assert got == {(m[0].lower(), want[m[0].lower()] >= pii.REMOVE) for m in re.finditer(r"[^\W\d_]+", t) if m[0].lower() in want and not any(a < m.end() and m.start() < b for a, b in base)}
+    clean = pii.sanitise(docs)
+    assert clean.columns == docs.columns and "zorblatt" not in clean.where("doc_id = 0").first()["text"]
 
 
 def test_topk(spark, monkeypatch):
