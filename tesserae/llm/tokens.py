@@ -2,7 +2,7 @@
 
 Encoding is that of the tokenizers library. The vocabulary's pre-tokenizer never joins what white space
 separates, so ids are looked up by white-space-separated chunk and the library encodes each new chunk once;
-the bounded cache changes no result. Null texts have no ids of their own.
+the bounded cache changes no result (two generations of chunks: what is used again outlives the change). Null texts have no ids of their own.
 
 Files: rows in ascending doc_id (nulls first, equal ids by a hash of the text), range-partitioned, numbered, with
 ids as ORC integer lists (run-length encoded), stripes of `stripe_bytes`, a row index every
@@ -27,7 +27,7 @@ from .common import new_path, small_batches, stored, texts
 
 VOCABULARY = "word_bpe_49k.json"
 SCHEMA = "doc_id long, row long, ids array<int>"
-CACHE = 500_000
+CACHE = 80_000
 STRIPE_BYTES, INDEX_ROWS = 8_388_608, 1_000
 #: Latin-1 letters and then marks: two pieces for the pre-tokenizer, the first one lower-cased letter by letter.
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
@@ -50,8 +50,13 @@ class _Chunks(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
+        self.old: dict[bytes, bytes] = {}
 
     def __missing__(self, chunk: bytes) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is not None:
+            self[chunk] = ids
+            return ids
         text = chunk.decode("utf-8")
         if len(chunk) > 64:  # hardly comes again
             return self.encoded(text)
@@ -68,6 +73,10 @@ class _Chunks(dict):
         self[chunk] = ids
         return ids
 
+    def age(self) -> None:
+        self.old = dict(self)
+        self.clear()
+
     def encoded(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -82,7 +91,7 @@ class Encoder:
         if not text:
             return b""
         if len(self.chunks) > CACHE:
-            self.chunks.clear()
+            self.chunks.age()
         return b"".join(map(self.chunks.__getitem__, text.split()))
 
 
