@@ -2,8 +2,8 @@
 
 Every line has categorical features (length, shares of symbols, capitals and digits, bars, repeated words, repeats of earlier
 lines and so on) and the same of the lines before and after it. The field has two labels, bad and good, weights for each
-feature value, and weights for each pair of neighbouring labels. It is fitted on a bounded sample of labelled rows
-(`per_class` of each label, by hash of the id, and of their lines `most_lines` spread evenly over the text); a document's label stands for
+feature value, and weights for each pair of neighbouring labels. It is fitted on all lines of a bounded sample of labelled rows
+(`per_class` of each label, by hash of the id; the driver holds 16 bytes a line of them); a document's label stands for
 all of its lines. A document's quality is the mean of its lines' marginals from the forward-backward recursion, weighted
 by their lengths; two more weights, fitted on the same sample, map it to a probability.
 
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from .common import small_batches, texts
 from .toxicity import training_rows
 
-PER_CLASS, MOST_LINES, STEPS, L2 = 3_000, 100, 150, 1e-3
+PER_CLASS, STEPS, L2 = 3_000, 150, 1e-3
+RUN, SLICE = 64, 100_000
 THRESHOLD = 0.3
 _UPPER = bytes(c for c in range(256) if not 65 <= c <= 90)
 _LETTER = bytes(c for c in range(256) if not (chr(c).isalpha() and c < 128 or c >= 128))
@@ -37,7 +38,7 @@ SIZES = (9, 9, 10, 10, 10, 10, 10, 10, 3, 3, 3, 8)
 OWN = len(SIZES)
 _FIRST = np.concatenate(([0], np.cumsum(SIZES)))
 N_OWN = int(_FIRST[-1])
-N_FEATURES = 3 * N_OWN + 3 + 1
+N_FEATURES = 3 * N_OWN + 3
 
 
 def _bin(x: float, edges: tuple) -> int:
@@ -65,46 +66,93 @@ def line_features(line: bytes, seen: dict[bytes, int]) -> list[int]:
     ]
 
 
-def document_features(text: bytes | None, most_lines: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(indices of features by line, lengths). The last three columns tell first, last and only lines."""
+def document_features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """(values of each line's own features, lengths)."""
     lines = (text or b"").split(b"\n")
-    if most_lines and len(lines) > most_lines:
-        lines = [lines[i * len(lines) // most_lines] for i in range(most_lines)]
     seen: dict[bytes, int] = {}
-    own = np.array([line_features(x, seen) for x in lines], np.int32) + _FIRST[:-1].astype(np.int32)
-    none = np.full((1, OWN), N_FEATURES - 1, np.int32)
-    before = np.concatenate([none, own[:-1] + N_OWN])
-    after = np.concatenate([own[1:] + 2 * N_OWN, none])
-    place = np.full((len(lines), 1), N_FEATURES - 1, np.int32)
-    place[0], place[-1] = 3 * N_OWN, 3 * N_OWN + 1
-    if len(lines) == 1:
-        place[0] = 3 * N_OWN + 2
-    return np.concatenate([own, before, after, place], axis=1), np.array([len(x) + 1 for x in lines], np.float64)
+    return np.array([line_features(x, seen) for x in lines], np.uint8), np.array([len(x) + 1 for x in lines], np.float32)
+
+
+class Lines:
+    """Lines of documents one after another."""
+
+    def __init__(self, docs: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.sizes = np.array([len(n) for _, n in docs], np.int64)
+        self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1]))
+        self.own = np.concatenate([x for x, _ in docs])
+        self.lengths = np.concatenate([n for _, n in docs]).astype(np.float64)
+        self.first = np.zeros(len(self.own), bool)
+        self.first[self.starts] = True
+        self.last = np.append(self.first[1:], True)
+
+    def emission(self, w: np.ndarray) -> np.ndarray:
+        """Log odds of good by line, from the line's features, its neighbours' and its place."""
+        own, before, after = (np.empty(len(self.own)) for _ in range(3))
+        for at in range(0, len(self.own), SLICE):
+            part = slice(at, at + SLICE)
+            index = self.own[part] + _FIRST[:-1]
+            for k, out in enumerate((own, before, after)):
+                out[part] = w[index + k * N_OWN].sum(axis=1)
+        out = own + np.where(self.first, 0, np.roll(before, 1)) + np.where(self.last, 0, np.roll(after, -1))
+        return out + self.places() @ w[3 * N_OWN :]
+
+    def places(self) -> np.ndarray:
+        return np.stack([self.first & ~self.last, self.last & ~self.first, self.first & self.last], axis=1).astype(np.float64)
+
+    def gradient(self, r: np.ndarray) -> np.ndarray:
+        """Sums of r, one number a line, by feature."""
+        out = np.zeros(N_FEATURES)
+        left = np.where(self.last, 0, np.roll(r, -1))  # a line's features count for the line after it
+        right = np.where(self.first, 0, np.roll(r, 1))
+        for at in range(0, len(r), SLICE):
+            index = (self.own[at : at + SLICE] + _FIRST[:-1]).ravel()
+            for k, x in enumerate((r, left, right)):
+                out[k * N_OWN : (k + 1) * N_OWN] += np.bincount(index, np.repeat(x[at : at + SLICE], OWN), N_OWN)
+        out[3 * N_OWN :] = r @ self.places()
+        return out
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of 2 x 2 matrices (00, 01, 10, 11), scaled to a largest element of 1."""
+    out = np.stack([a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3]])
+    return out / out.max(axis=0)
 
 
-def _log_sum(a, b):
-    return np.logaddexp(a, b)
+def _running(m: np.ndarray) -> np.ndarray:
+    """Running products of matrices: within runs of `RUN` side by side, then of the runs, so that one long document takes few steps."""
+    n = m.shape[1]
+    if n <= RUN:
+        m = m.copy()
+        for k in range(1, n):
+            m[:, k] = _times(m[:, k - 1], m[:, k])
+        return m
+    blocks = -(-n // RUN)
+    x = np.zeros((4, blocks * RUN))
+    x[:, :n], x[0, n:], x[3, n:] = m, 1.0, 1.0
+    x = x.reshape(4, blocks, RUN)
+    for k in range(1, RUN):
+        x[:, :, k] = _times(x[:, :, k - 1], x[:, :, k])
+    x[:, 1:] = _times(_running(x[:, :, -1])[:, :-1, None], x[:, 1:])
+    return x.reshape(4, -1)[:, :n]
 
 
 def marginals(emission: np.ndarray, sizes: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of documents one after another in `emission` (log odds of good by line): log odds of good given all lines,
-    and the mean expected number of each label pair by document. Longer documents come first."""
-    n, starts = len(sizes), np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    a, b = emission.copy(), np.zeros_like(emission)
-    longest = int(sizes.max())
-    active = [int(np.searchsorted(-sizes, -t, side="left")) for t in range(longest + 1)]  # documents with more than t lines
-    step = lambda x: _log_sum(x + pair[1, 1], pair[0, 1]) - _log_sum(x + pair[1, 0], pair[0, 0])
-    back = lambda x: _log_sum(x + pair[1, 1], pair[1, 0]) - _log_sum(x + pair[0, 1], pair[0, 0])
-    for t in range(1, longest):
-        i = starts[: active[t]] + t
-        a[i] += step(a[i - 1])
-    for t in range(longest - 2, -1, -1):
-        i = starts[: active[t + 1]] + t
-        b[i] = back(b[i + 1] + emission[i + 1])
+    and the expected number of each label pair. A document's first matrix has equal rows, so nothing passes from one to the next."""
+    first = np.zeros(len(emission), bool)
+    first[np.concatenate(([0], np.cumsum(sizes)[:-1]))] = True
+    last = np.append(first[1:], True)
+    pair, emission = np.clip(pair, -30, 30), np.clip(emission, -30, 30)
+    e, t = np.exp(emission), np.exp(pair)
+    one = np.ones_like(e)
+    forward = np.stack([np.where(first, 1, t[0, 0] * one), np.where(first, e, t[0, 1] * e), np.where(first, 1, t[1, 0] * one), np.where(first, e, t[1, 1] * e)])
+    p = _running(forward / forward.max(axis=0))
+    after = np.roll(e, -1)
+    back = np.stack([np.where(last, 1, t[0, 0] * one), np.where(last, 1, t[1, 0] * one), np.where(last, 1, t[0, 1] * after), np.where(last, 1, t[1, 1] * after)])
+    q = _running((back / back.max(axis=0))[:, ::-1])[:, ::-1]
+    a, b = (np.log(np.maximum(x[1] + x[3], 1e-300)) - np.log(np.maximum(x[0] + x[2], 1e-300)) for x in (p, q))
     expected = np.zeros((2, 2))
-    inner = np.ones(len(emission), bool)
-    inner[starts] = False
-    i = np.flatnonzero(inner)
+    i = np.flatnonzero(~first)
     if len(i):
         joint = np.stack([np.full(len(i), pair[0, 0]), pair[0, 1] + emission[i] + b[i], a[i - 1] + pair[1, 0], a[i - 1] + pair[1, 1] + emission[i] + b[i]])
         joint = np.exp(joint - joint.max(axis=0))
@@ -121,17 +169,11 @@ class Model:
         """Log odds of the length-weighted mean marginal of each document."""
         if not docs:
             return np.zeros(0)
-        order = sorted(range(len(docs)), key=lambda k: -len(docs[k][1]))
-        sizes = np.array([len(docs[k][1]) for k in order])
-        emission = np.concatenate([self.weights[docs[k][0]].sum(axis=1) for k in order])
-        odds, _ = marginals(emission, sizes, self.pair)
+        lines = Lines(docs)
+        odds, _ = marginals(lines.emission(self.weights), lines.sizes, self.pair)
         p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        lengths = np.concatenate([docs[k][1] for k in order])
-        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        mean = (np.add.reduceat(p * lengths, starts) / np.add.reduceat(lengths, starts)).clip(1e-6, 1 - 1e-6)
-        out = np.empty(len(docs))
-        out[order] = np.log(mean / (1 - mean))
-        return out
+        mean = (np.add.reduceat(p * lines.lengths, lines.starts) / np.add.reduceat(lines.lengths, lines.starts)).clip(1e-6, 1 - 1e-6)
+        return np.log(mean / (1 - mean))
 
     def scores(self, docs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(docs) + self.shift, -30, 30)))
@@ -139,32 +181,23 @@ class Model:
 
 def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, share: float, steps: int = STEPS, l2: float = L2) -> Model:
     """Maximum likelihood of constant label chains (Adam), classes weighted alike, then the map to probabilities with the true `share` of good."""
-    order = sorted(range(len(docs)), key=lambda k: -len(docs[k][1]))
-    docs, labels = [docs[k] for k in order], labels[order]
-    sizes = np.array([len(d[1]) for d in docs])
-    index = np.concatenate([d[0] for d in docs])
-    y = np.repeat(labels, sizes)
-    scale = np.repeat(1 / sizes, sizes)  # each document counts once
-    halves = [(labels == k) for k in (0.0, 1.0)]
-    model = Model(np.zeros(N_FEATURES), np.zeros((2, 2)))
-    theta = np.zeros(N_FEATURES + 4)
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    inner = np.ones(len(y), bool)
-    inner[starts] = False
+    lines = Lines(docs)
+    y = np.repeat(labels, lines.sizes)
+    scale = np.repeat(1 / lines.sizes, lines.sizes) / len(docs)  # each document counts once
+    inner = ~lines.first
     n_inner = max(1, inner.sum())
     same = np.array([[((1 - y)[inner]).sum(), 0.0], [0.0, y[inner].sum()]])
+    theta = np.zeros(N_FEATURES + 4)
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, steps + 1):
         w, pair = theta[:N_FEATURES], theta[N_FEATURES:].reshape(2, 2)
-        odds, expected = marginals(w[index].sum(axis=1), sizes, pair)
+        odds, expected = marginals(lines.emission(w), lines.sizes, pair)
         p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        g = np.bincount(index.ravel(), np.repeat((p - y) * scale / len(docs), index.shape[1]), N_FEATURES) + l2 * w
-        g_pair = (expected - same) / n_inner + 0.3 * pair
-        grad = np.concatenate([g, g_pair.ravel()])
+        grad = np.concatenate([lines.gradient((p - y) * scale) + l2 * w, ((expected - same) / n_inner + 0.3 * pair).ravel()])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         theta = theta - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
     model = Model(theta[:N_FEATURES], theta[N_FEATURES:].reshape(2, 2))
-    model.weights[N_FEATURES - 1] = 0.0 if not np.isfinite(model.weights[N_FEATURES - 1]) else model.weights[N_FEATURES - 1]
+    halves = [(labels == k) for k in (0.0, 1.0)]
     z = model.raw(docs)
     slope, shift = 1.0, 0.0
     weight = np.where(labels == 1, share / max(1, halves[1].sum()), (1 - share) / max(1, halves[0].sum()))
@@ -179,19 +212,19 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, share: fl
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", per_class: int = PER_CLASS, most_lines: int = MOST_LINES) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", per_class: int = PER_CLASS) -> Model | None:
     rows = training_rows(docs, labels, label, usable, per_class)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [document_features(t, most_lines) for t in texts(batch.column(1))]
-            yield pa.record_batch([batch.column(0), pa.array([f.astype(np.int16).tobytes() for f, _ in found], pa.binary()), pa.array([n.astype(np.float32).tobytes() for _, n in found], pa.binary())], names=["label", "x", "n"])
+            found = [document_features(t) for t in texts(batch.column(1))]
+            yield pa.record_batch([batch.column(0), pa.array([f.tobytes() for f, _ in found], pa.binary()), pa.array([n.tobytes() for _, n in found], pa.binary())], names=["label", "x", "n"])
 
     got = rows.mapInArrow(run, "label int, x binary, n binary").orderBy("label", F.xxhash64("x", "n")).toPandas()
     y = got["label"].to_numpy(np.float64)
     if not len(y) or y.min() == y.max():
         return None
-    found = [(np.frombuffer(x, np.int16).reshape(-1, 3 * OWN + 1).astype(np.int64), np.frombuffer(n, np.float32).astype(np.float64)) for x, n in zip(got["x"], got["n"], strict=True)]
+    found = [(np.frombuffer(x, np.uint8).reshape(-1, OWN), np.frombuffer(n, np.float32)) for x, n in zip(got["x"], got["n"], strict=True)]
     share = labels.where(usable).agg(F.avg(F.col(label).cast("double"))).first()[0]
     return fit(found, y, float(share))
 

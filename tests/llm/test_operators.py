@@ -344,6 +344,42 @@ def test_field_marginals():
     np.testing.assert_allclose(expected, total)
 
 
+def chain(model, own, lengths):
+    """Score of one document, line after line."""
+    n, w, pair = len(own), model.weights, model.pair
+    first = np.concatenate(([0], np.cumsum(quality.SIZES)[:-1]))
+    emission = []
+    for t in range(n):
+        e = sum(w[first + own[t]])
+        e += sum(w[quality.N_OWN + first + own[t - 1]]) if t else 0
+        e += sum(w[2 * quality.N_OWN + first + own[t + 1]]) if t + 1 < n else 0
+        emission.append(e + w[3 * quality.N_OWN + (2 if n == 1 else 0 if t == 0 else 1)] * (t in (0, n - 1)))
+    alpha, beta = np.zeros((n, 2)), np.zeros((n, 2))
+    for t in range(n):
+        before = np.logaddexp(*(alpha[t - 1][:, None] + pair)) if t else np.zeros(2)
+        alpha[t] = before + [0, emission[t]]
+    for t in range(n - 2, -1, -1):
+        beta[t] = np.logaddexp(*(pair + [0, emission[t + 1]] + beta[t + 1]).T)
+    odds = np.diff(alpha + beta, axis=1)[:, 0]
+    mean = np.average(1 / (1 + np.exp(-odds)), weights=lengths)
+    mean = min(max(mean, 1e-6), 1 - 1e-6)
+    return 1 / (1 + np.exp(-(model.slope * np.log(mean / (1 - mean)) + model.shift)))
+
+
+def test_quality_by_hand(spark):
+    """The query's scores against plain recursions over whole texts, long ones and repeated rows among them."""
+    docs, labels, _ = labelled(spark)
+    rng = random.Random(8)
+    long = "\n".join(" ".join(rng.choice(["ba", "do", "x###"]) for _ in range(rng.randint(1, 9))) for _ in range(5000))
+    docs = docs.union(spark.createDataFrame([(2, long), (600, long), (600, long), (601, "\n" * 70), (None, "a")], docs.schema)).cache()
+    model = quality.train(docs, labels, F.lit(True))
+    assert model is not None
+    for r in quality.scored(docs, model, "s").collect():
+        own, lengths = quality.document_features(r["text"].encode() if r["text"] else None)
+        assert len(own) == len((r["text"] or "").split("\n"))
+        assert r["s"] == pytest.approx(chain(model, own, lengths), abs=1e-6)
+
+
 def test_query_columns(spark):
     """Each query runs on the smallest tables and has a row for each document, page, piece or rank."""
     for name, f in queries.QUERIES.items():
