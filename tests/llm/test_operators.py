@@ -89,7 +89,7 @@ def test_decontamination(spark):
     texts += [f"X-{items[2][1].upper()}! tail", items[0][1], items[3][1] + " " + " ".join(["pad"] * 500), "short, one; short ONE"]
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = documents(spark, texts, hits=1, n_words="x")
-    for most in (decontam.MOST_BYTES, 3000):  # one automaton and several
+    for most in (decontam.MOST_BYTES, 150):  # one automaton and several
         found = decontam.benchmark_hits(docs, bench, most_bytes=most).selectExpr("*", f"{decontam.CONTAMINATED} AS c").collect()
         for r in found:
             digest = hashlib.sha256(",".join(sorted(map(str, r["items"]))).encode()).hexdigest()
@@ -103,6 +103,40 @@ def test_decontamination(spark):
     assert decontam.decontaminate(docs, bench.where("false")).count() == docs.count()
 
 
+def test_automaton():
+    """Texts against brute force: few words, so that runs overlap and repeat; items made from one template, repeated ids, a wide vocabulary."""
+    rng = random.Random(5)
+    for size, window in ((3, 4), (12, 13), (3000, 13), (6, 1), (6, 2)):
+        words = [f"w{i}" for i in range(size)]
+        template = rng.choices(words, k=30)
+        items = [(k % 25, " ".join(rng.choices(words, k=rng.randrange(0, 3 * window)))) for k in range(40)]
+        items += [(100 + k, " ".join([*template, str(k), *template])) for k in range(10)]
+        machine = decontam.Machine([(i, t.encode()) for i, t in items], window)
+        for _ in range(60):
+            text = " ".join(rng.choices(words, k=rng.randrange(40)))
+            if rng.random() < 0.7:
+                part = rng.choice(items)[1].split()
+                at = rng.randrange(len(part) + 1)
+                text += " - " + " ".join(part[at : at + rng.randrange(3 * window)]).upper() + " x " + text
+            n, hits, found = machine.scan(text.encode())
+            digest = hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
+            assert (n, len(hits), len(found), digest) == brute.contamination(text, items, window)[:4]
+
+
+def test_automaton_of_large_benchmark():
+    """A benchmark of 4 MB: the automaton takes less than 100 bytes for each of its bytes, and finds what it should."""
+    rng = random.Random(9)
+    words = [f"term{i}" for i in range(40_000)]
+    items = [(k, " ".join(rng.choices(words, k=50)).encode()) for k in range(9_000)]
+    assert sum(len(t) for _, t in items) > 4_000_000
+    machine = decontam.Machine(items)
+    assert machine.automaton.get_stats()["total_size"] < 100 * sum(len(t) for _, t in items)
+    for k in (0, 4321, 8999):
+        part = items[k][1].split()[20:35]
+        assert machine.scan(b"a b " + b" ".join(part) + b" c") == (18, list(range(2, 17)), [k])
+        assert machine.scan(b" ".join(part[:12])) == (12, [], [])
+
+
 def test_token_files(spark, corpus, ids_of):
     rows = [(i, t) for i, t in enumerate(corpus)] + [(5, "again five"), (5, "again five"), (None, "no id")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
