@@ -1,15 +1,17 @@
 """K-d tree sharding by bytes over document metadata.
 
-Each document is a point: size, source, language and place of its text's checksum, each mapped to 0 .. 2^20 - 1. A node is
-split at the weighted median (bytes) along its widest dimension, until leaves reach the target bytes, which is the
-total over the number of shards. Rows of equal texts share one point (source and language of the smallest doc_id),
-ordered by (dimension, checksum), so a group of equal texts falls apart, by a hash of the doc_ids, only where
+Each document is a point: logarithm of its size, source and language (by hash), each dimension stretched to 0 .. 2^20 - 1 over the
+corpus. A node is split at the weighted median (bytes) along its widest dimension (of equals: size, then source, then
+language), until leaves reach the target bytes, which is the total over the number of shards. The text's checksum only
+orders what is equal in that dimension. Rows of equal texts share one point (source and language of the smallest doc_id),
+ordered by (dimension, checksum), so a group of equal texts falls apart, by a hash of its rows' ids and places, only where
 the median would lie inside it and moving the cut to its nearer border would cost more than `slack` of a leaf.
 
 Medians are exact to one key: histograms of 1024 bins of the order's 52 bits, summed over the cluster for all nodes of
 a level at once, are refined until a bin is one value. The driver holds bins and nodes, never rows.
 
-Null text: no bytes, size 1. Null source or language: a value of their own. Repeated rows are placed one by one; ids, if null, come first.
+Null text: no bytes, size 1. Null source or language: a value of their own. Repeated rows are placed one by one, so
+many rows with one id and one text are split like any others; ids, if null, come first.
 """
 
 from __future__ import annotations
@@ -21,25 +23,40 @@ from .common import remove, stored
 
 BITS = 20
 SLACK = 0.005
-DIMENSIONS = ("d_size", "d_source", "d_lang", "d_text")
+DIMENSIONS = ("d_size", "d_source", "d_lang")
+HOT = 1000  # a group with a thousandth of all rows is joined by broadcast: there are 1000 of them at most
 
 
 def points(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32, the row's own dimensions and a hash of the text; no text."""
+    """doc_id, size, text_crc32, the row's own dimensions, a hash of the text and one of the row; no text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     column = lambda c: F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")
-    scaled = lambda x: F.shiftright(F.xxhash64(x), 64 - BITS).cast("long") + (1 << (BITS - 1))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("b"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("group"), scaled(column("source")).alias("d_source"), scaled(column("lang")).alias("d_lang"))
-    size = F.least(F.lit((1 << BITS) - 1), F.floor(F.log2(F.col("b") + 1) * (1 << (BITS - 6)))).cast("long")
-    out = out.select("doc_id", (F.col("b") + 1).alias("size"), "text_crc32", "group", size.alias("d_size"), "d_source", "d_lang", F.shiftright("text_crc32", 32 - BITS).cast("long").alias("d_text"))
-    return out.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(1 << 20)))
-
-
-def shared_points(rows: DataFrame) -> DataFrame:
-    """Source and language of a group's smallest doc_id for all its rows."""
-    first = rows.groupBy("group", "text_crc32").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "d_source", "d_lang")).alias("f")).where("n > 1").select("group", "text_crc32", "f")
-    out = rows.join(first, ["group", "text_crc32"], "left")
-    return out.withColumns({d: F.coalesce(F.col(f"f.{d}"), F.col(d)) for d in ("d_source", "d_lang")}).drop("group", "f")
+    hashed = lambda c: F.pmod(F.xxhash64(column(c)), F.lit(1 << BITS)).cast("double")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("b"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("group"), hashed("source").alias("d_source"), hashed("lang").alias("d_lang"))
+    out = out.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_crc32", F.monotonically_increasing_id()), F.lit(1 << 20)))
+    return out.select("doc_id", (F.col("b") + 1).alias("size"), "text_crc32", "group", F.log2(F.col("b") + 1.0).alias("d_size"), "d_source", "d_lang", "salt")
+
+
+def shared_points(rows: DataFrame) -> tuple[DataFrame, str]:
+    """Dimensions over their spread in the corpus, source and language of a group's smallest doc_id for all its rows. Large groups
+    aren't joined by a shuffle, which would bring each into one task."""
+    groups = rows.groupBy("group", "text_crc32").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "d_source", "d_lang")).alias("f")).where("n > 1")
+    groups, path = stored(groups, "groups", few=True)
+    total = rows.agg(F.count("*").alias("rows"), *[f(d).alias(f"{d}_{k}") for d in DIMENSIONS for k, f in (("low", F.min), ("high", F.max))]).first()
+    hot = F.broadcast(groups.where(F.col("n") * HOT >= total["rows"]).select("group", "text_crc32", F.col("f").alias("g")))
+    rest = groups.where(F.col("n") * HOT < total["rows"]).select("group", "text_crc32", "f")
+    marked = rows.join(hot, ["group", "text_crc32"], "left")
+    large = marked.where("g is not null").withColumnRenamed("g", "f")
+    small = marked.where("g is null").drop("g").join(rest, ["group", "text_crc32"], "left")
+    out = large.unionByName(small).withColumns({d: F.coalesce(F.col(f"f.{d}"), F.col(d)) for d in ("d_source", "d_lang")}).drop("group", "f")
+
+    def stretched(d: str) -> Column:
+        low, high = total[f"{d}_low"] or 0.0, total[f"{d}_high"] or 0.0
+        return F.round((F.col(d) - low) * (((1 << BITS) - 1) / (high - low) if high > low else 0.0)).cast("long")
+
+    out, new = stored(out.withColumns({d: stretched(d) for d in DIMENSIONS}).withColumn("node", F.lit(0)), "points")
+    remove(rows.sparkSession, path)
+    return out, new
 
 
 def _order(dimension: Column) -> Column:
@@ -75,7 +92,7 @@ def split_points(rows: DataFrame, key: str, width: int, goal: dict[int, float])
 def kd_shards(docs: DataFrame, shards: int = 16, slack: float = SLACK) -> DataFrame:
     """doc_id, size, text_crc32, shard (0 .. shards - 1) and slot (from 0 without gaps) of every row."""
     rows, old = stored(points(docs), "points")
-    rows, path = stored(shared_points(rows).withColumn("node", F.lit(0)), "points")
+    rows, path = shared_points(rows)
     remove(docs.sparkSession, old)
     total = rows.agg(F.sum("size")).first()[0] or 0
     leaves = {0: (0, shards)}  # node -> first shard and number of shards
@@ -128,5 +145,5 @@ def with_slots(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("part", (F.col("salt") * parts / (1 << 20)).cast("int"))
     counts = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
     counts = counts.withColumn("first", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    own = F.row_number().over(Window.partitionBy("shard", "part").orderBy("salt", "doc_id"))
+    own = F.row_number().over(Window.partitionBy("shard", "part").orderBy("salt", "doc_id", "text_crc32"))
     return rows.withColumn("own", own).join(counts, ["shard", "part"]).select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("own") - 1).cast("long").alias("slot"))

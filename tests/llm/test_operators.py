@@ -211,6 +211,59 @@ def test_sharding(spark, corpus):
     assert sharding.kd_shards(documents(spark, ["x"]).where("false"), 16).count() == 0
 
 
+def tree(rows, shards, slack, leaf, first=0):
+    """Shards of points by recursion: {row number: shard}. rows: (number, size, dimensions, checksum, salt)."""
+    if shards == 1 or not rows:
+        return {r[0]: first for r in rows}
+    d = max(range(3), key=lambda k: max(r[2][k] for r in rows) - min(r[2][k] for r in rows))
+    goal = sum(r[1] for r in rows) * (shards // 2) / shards
+
+    def median(order, goal):
+        below = 0
+        keys = sorted({order(r) for r in rows if order(r) is not None})
+        for v in keys:
+            at = sum(r[1] for r in rows if order(r) == v)
+            if below + at > goal or v == keys[-1]:
+                return v, below, at
+            below += at
+
+    key = lambda r: (r[2][d], r[3])
+    v, below, at = median(key, goal)
+    if min(goal - below, below + at - goal) <= slack * leaf:
+        right = [r for r in rows if key(r) > v or key(r) == v and below + at - goal >= goal - below]
+    else:
+        goal -= below
+        s, below, at = median(lambda r: r[4] if key(r) == v else None, goal)
+        right = [r for r in rows if key(r) > v or key(r) == v and (r[4] > s or r[4] == s and below + at - goal >= goal - below)]
+    gone = {r[0] for r in right}
+    return tree([r for r in rows if r[0] not in gone], shards // 2, slack, leaf, first) | tree(right, shards - shards // 2, slack, leaf, first + shards // 2)
+
+
+@pytest.mark.parametrize("shards", [16, 5, 1])
+def test_sharding_by_hand(spark, corpus, shards):
+    """Against a tree grown by recursion over the same points; copies share a point, whatever their source."""
+    df = documents(spark, corpus * 2 + ["copy of a text"] * 40)
+    stretched, _ = sharding.shared_points(sharding.stored(sharding.points(df), "points")[0])
+    held = [(k, r["size"], tuple(r[d] for d in sharding.DIMENSIONS), r["text_crc32"], r["salt"], r["doc_id"]) for k, r in enumerate(stretched.collect())]
+    assert all(max(r[2][k] for r in held) == (1 << sharding.BITS) - 1 and min(r[2][k] for r in held) == 0 for k in range(3))
+    assert len({r[2] for r in held if r[3] == zlib.crc32(b"copy of a text")}) == 1
+    want = tree(held, shards, sharding.SLACK, sum(r[1] for r in held) / shards)
+    got = {r["doc_id"]: r["shard"] for r in sharding.kd_shards(df, shards).collect()}
+    assert got == {held[k][5]: s for k, s in want.items()}
+
+
+def test_sharding_repeated_rows(spark):
+    """One id and one text, and null ids, in most rows: shards still hold nearly equal bytes."""
+    rows = [(7, "the same text again")] * 900 + [(None, "no id")] * 900 + [(k, None) for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sharding.kd_shards(df, 16).collect()
+    sizes = [sum(r["size"] for r in got if r["shard"] == s) for s in range(16)]
+    assert len(got) == len(rows) and max(sizes) - min(sizes) <= 0.02 * sum(sizes) / 16 + 2 * 20
+    for s in range(16):
+        own = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert own == list(range(len(own)))
+
+
 def test_html():
     page = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1><p>tag, line, with, commas</p></header><nav><a href=/>x</a></nav><div id="cookie-notice"><p>We, use, cookies, a, lot</p></div>
     <div class="wrap"><div class="content"><h1>Title &amp; more</h1><p>First para, with <a href=x>link</a>
