@@ -80,8 +80,12 @@ def with_base(docs: DataFrame) -> DataFrame:
     """(doc_id, key of the text, text, one array of spans for each base kind)."""
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     out = out.withColumn("key", F.md5("text"))
-    text = F.col("text")
-    return out.withColumns({k: F.when(F.instr(text, HINTS[k]) > 0 if k in HINTS else text.rlike("[0-9]"), occurrences(text, PATTERNS[k], _TESTS[k])).otherwise(F.array().cast(_SPAN)) for k in KINDS})
+    return out.withColumns(base_spans(F.col("text")))
+
+
+def base_spans(text: Column) -> dict[str, Column]:
+    """Spans of each base kind."""
+    return {k: F.when(F.instr(text, HINTS[k]) > 0 if k in HINTS else text.rlike("[0-9]"), occurrences(text, PATTERNS[k], _TESTS[k])).otherwise(F.array().cast(_SPAN)) for k in KINDS}
 
 
 def _words(text: Column) -> Column:
@@ -143,9 +147,9 @@ def disclosing_terms(light: DataFrame, texts: DataFrame, support: int = SUPPORT,
     most = live.agg(F.max("n_value")).first()[0]
     if most is None:
         return none
-    owned = keep(owned.join(live, "value").groupBy("key").agg(F.collect_list("value").alias("values")), "pii-owned")
+    owned = keep(owned.join(live, "value").groupBy("key").agg(F.collect_list("value").alias("values"), F.max("n_value").alias("most")), "pii-owned")
     body = light.where(_ANY).select("key", "text", *KINDS).dropDuplicates(["key"]).join(owned, "key")
-    body = keep(body.select("values", _words(_outside(F.col("text"))).alias("words")), "pii-live")
+    body = keep(body.select("values", "most", _words(_outside(F.col("text"))).alias("words")), "pii-live")
     near = F.col("words")
     around = F.transform(near, lambda w, i: F.struct(w.alias("term"), F.xxhash64(F.get(near, i - 1), F.get(near, i + 1)).alias("between")))
     settings = body.select(F.explode(F.array_distinct(around)).alias("w")).select("w.term", "w.between").distinct().groupBy("term").agg(F.count("*").alias("n_between"))
@@ -155,7 +159,9 @@ def disclosing_terms(light: DataFrame, texts: DataFrame, support: int = SUPPORT,
     test = _bit_test(terms, terms.count())
     if test is None:
         return none
-    pairs = body.select("values", F.explode(F.filter(F.array_distinct("words"), test)).alias("term")).join(terms.select("term"), "term", "left_semi")
+    # a term that more texts have than the commonest value of this one allows isn't given away by this one
+    pairs = body.select("values", "most", F.explode(F.filter(F.array_distinct("words"), test)).alias("term"))
+    pairs = pairs.join(terms, (pairs["term"] == terms["term"]) & (terms["n_near"] * generalise <= pairs["most"])).select(terms["term"], "values")
     pairs = pairs.select("term", F.explode("values").alias("value")).groupBy("term", "value").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
     pairs = pairs.join(terms, "term").where(F.col("n_both") >= generalise * F.col("n_near")).join(live, "value")
     pairs = keep(pairs.where(F.log2(F.col("n_both") / F.col("n_near") * n_texts / F.col("n_value")) >= bits), "pii-pairs")
@@ -187,14 +193,21 @@ def term_spans(light: DataFrame, texts: DataFrame, terms: DataFrame, n: int, rem
     return hits.select("key", clear.alias("term")).where("size(term) > 0")
 
 
-def find(docs: DataFrame, remove_from: float = REMOVE, **thresholds: float) -> DataFrame:
-    """Per row: doc_id, key, spans of each base kind and of disclosing terms."""
+def _learned(docs: DataFrame, remove_from: float, **thresholds: float) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Keys and base spans of all rows; key and text of all rows; spans of disclosing words by key; these words and their number."""
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(F.md5("text").alias("key"), "text")
     light, _ = stored(with_base(docs).withColumn("text", F.when(F.expr(_ANY), F.col("text"))), "pii-base")
     terms, n, paths = disclosing_terms(light, texts, **thresholds)
     spans, _ = stored(term_spans(light, texts, terms, n, remove_from), "pii-spans", few=True)
+    terms, _ = stored(terms, "pii-terms", few=True)
     remove(docs.sparkSession, *paths)
-    return light.drop("text").join(spans, "key", "left").withColumn("term", F.coalesce("term", F.array().cast(_TERM_SPANS)))
+    return light.drop("text"), spans, terms, n
+
+
+def find(docs: DataFrame, remove_from: float = REMOVE, **thresholds: float) -> DataFrame:
+    """Per row: doc_id, key, spans of each base kind and of disclosing terms."""
+    light, spans, _, _ = _learned(docs, remove_from, **thresholds)
+    return light.join(spans, "key", "left").withColumn("term", F.coalesce("term", F.array().cast(_TERM_SPANS)))
 
 
 def labelled(kind: str) -> Column:
@@ -202,29 +215,44 @@ def labelled(kind: str) -> Column:
     return F.transform(kind, lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["end"].cast("string")))
 
 
-def sanitise(docs: DataFrame, **thresholds: float) -> DataFrame:
+def sanitise(docs: DataFrame, remove_from: float = REMOVE, **thresholds: float) -> DataFrame:
     """The input's rows with base matches replaced by [EMAIL] and so on, disclosing terms removed or generalised to
-    [TERM], and n_chars, where there is one, counted anew. Where spans overlap, the earliest and then the longest stays; null texts stay null."""
-    found = find(docs, **thresholds)
-    own, key, all_marks = (fresh(docs, c) for c in ("own", "key", "marks"))
+    [TERM], and n_chars, where there is one, counted anew. Where spans overlap, the earliest and then the longest stays; null texts stay null.
+    Base matches are found in place, so only rows that may have a disclosing term are shuffled."""
+    _, spans, terms, n = _learned(docs, remove_from, **thresholds)
+    key, term = fresh(docs, "key"), fresh(docs, "term")
+    test = _bit_test(terms, n)
+    if test is None:
+        return _replaced(docs, None)
+    maybe = fresh(docs, "maybe")
+    marked = docs.withColumn(maybe, F.coalesce(F.exists(_words(F.col("text")), test), F.lit(False)))
+    spans = spans.select(F.col("key").alias(key), F.col("term").alias(term))
+    some = marked.where(maybe).drop(maybe)
+    some = some.join(spans, F.md5(some["text"].cast("string")) == spans[key], "left")
+    return _replaced(marked.where(~F.col(maybe)).drop(maybe), None).unionByName(_replaced(some, term).select(*docs.columns))
+
+
+def _replaced(docs: DataFrame, term: str | None) -> DataFrame:
+    """The rows with marks in the place of base matches and of the spans in column `term`."""
+    text = F.col("text").cast("string")
 
-    def mark(spans: str, of) -> Column:
+    def mark(spans: Column, of) -> Column:
         return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), of(s).alias("mark")))
 
-    base = [mark(k, (lambda text: lambda s: F.lit(text))(f"[{k.upper()}]")) for k in KINDS]
-    marks = F.concat(*base, mark("term", lambda s: F.when(s["removed"], "").otherwise("[TERM]")))
-    marks = found.select(F.col("key").alias(key), F.array_sort(marks).alias(all_marks)).where(F.size(all_marks) > 0).groupBy(key).agg(F.first(all_marks).alias(all_marks))
-    out = docs.withColumn(own, F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    out = out.join(marks, out[own] == marks[key], "left")
+    marks = [mark(spans, (lambda shown: lambda s: F.lit(shown))(f"[{k.upper()}]")) for k, spans in base_spans(text).items()]
+    if term:
+        marks.append(mark(F.coalesce(F.col(term), F.array().cast(_TERM_SPANS)), lambda s: F.when(s["removed"], "").otherwise("[TERM]")))
+    held = fresh(docs, "marks")
+    out = docs.withColumn(held, F.array_sort(F.concat(*marks)))
 
     def step(acc: Column, m: Column) -> Column:
         new = m["start"] >= acc["at"]
-        kept = F.concat(acc["out"], F.substr("text", acc["at"] + 1, m["start"] - acc["at"]), m["mark"])
+        kept = F.concat(acc["out"], F.substr(text, acc["at"] + 1, m["start"] - acc["at"]), m["mark"])
         return F.struct(F.when(new, -m["back"]).otherwise(acc["at"]).alias("at"), F.when(new, kept).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate(all_marks, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr("text", acc["at"] + 1, F.char_length("text"))))
-    marked = F.col(all_marks).isNotNull() & F.col("text").isNotNull()
-    out = out.withColumn("text", F.when(marked, clean).otherwise(F.col("text")))
+    clean = F.aggregate(held, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.char_length(text))))
+    some = F.coalesce(F.size(held) > 0, F.lit(False))
+    out = out.withColumn("text", F.when(some, clean).otherwise(text))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(marked, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(some, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.drop(held)
