@@ -13,19 +13,21 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share; a private one is set only where none is configured."""
+    """Folder that driver and executors share; a private one is set only where none is configured and all run in one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tesserae-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 1000 rows where the session has Spark's default of 10000: whole texts are long."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, "1000")
+    """Arrow batches of at most 4 MB where the session has Spark's default of 64: whole texts are long. It stays set, since frames run later."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("67108864b", "64MB"):
+        spark.conf.set(name, "4m")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -42,11 +44,11 @@ def remove(spark: SparkSession, *paths: str) -> None:
 
 def stored(df: DataFrame, name: str, few: bool = False) -> tuple[DataFrame, str]:
     """Write a frame to the shared folder and read it back: lineage ends there, on replicated storage.
-    few: rows are few beside the corpus, so four files for each core of the cluster are enough."""
+    few: rows are few beside the corpus, so Spark may deal them to fewer files, by their bytes."""
     spark = df.sparkSession
     path = new_path(spark, name)
     if few:
-        df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
+        df = df.hint("rebalance")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

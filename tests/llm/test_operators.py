@@ -439,11 +439,16 @@ def test_topk(spark, monkeypatch):
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(400)] + [(i, [0.5] * 8) for i in range(1000, 1300)]
     rows += [(500, None), (600, []), (700, [1.0, None] * 4), (800, [float("nan")] * 8), (900, [float("inf")] * 8), (None, [1.0] * 8), (2000, [1.0, 2.0]), (2001, [3.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x")).repartition(5)
-    for block in (topk.BLOCK_BYTES, 300):  # one block and several
+    for block, part in ((topk.BLOCK_BYTES, topk.PART), (300, 1), (100_000, 2)):  # one block and several, in parts
+        monkeypatch.setattr(topk, "PART", part)
         got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 100 == 0, block_bytes=block).collect()))
         assert got == brute.top(rows)
-    big = spark.createDataFrame([(0, [1e5, 1.0]), (1, [2e5, -1.0]), (2, [1e5, 1.0])], "vec_id long, embedding array<double>")
-    assert sorted(map(tuple, topk.top_k(big, F.col("vec_id") == 0, k=1).collect())) == brute.top([(0, [1e5, 1.0]), (1, [2e5, -1.0]), (2, [1e5, 1.0])], 1)
+    for scale in (1e5, 1e6, 5e6):  # sums beyond 2^53, and squared norms beyond 2^63 of vectors whose scores fit
+        rows = [(0, [scale, 1.0]), (1, [2.0, -scale]), (2, [1.0, 3.0]), (3, [-1.0, scale / 2]), (4, [1.0, 3.0])]
+        big = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        assert sorted(map(tuple, topk.top_k(big, F.col("vec_id") == 0, k=3).collect())) == brute.top(rows, 3)
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(spark.createDataFrame([(0, [1e15]), (1, [1e15])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
     assert topk.top_k(df.where("false"), F.lit(True)).count() == 0
 
 
