@@ -1,8 +1,9 @@
 """Token ids of texts and their ORC files.
 
-Encoding is that of the tokenizers library. The vocabulary's pre-tokenizer never joins what white space
-separates, so ids are looked up by white-space-separated chunk and the library encodes each new chunk once;
-the bounded cache changes no result (two generations of chunks: what is used again outlives the change). Null texts have no ids of their own.
+Encoding is that of the tokenizers library. Where a vocabulary file has the normalizer and pre-tokenizer below, which
+never join what white space separates, ids are looked up by white-space-separated chunk and the library encodes each new chunk once;
+the bounded cache changes no result (two generations of chunks: what is used again outlives the change). Texts go
+through the library whole with any other file. Null texts have no ids of their own.
 
 Files: rows in ascending doc_id (nulls first, equal ids by a hash of the text), range-partitioned, numbered, with
 ids as ORC integer lists (run-length encoded), stripes of `stripe_bytes`, a row index every
@@ -11,6 +12,7 @@ ids as ORC integer lists (run-length encoded), stripes of `stripe_bytes`, a row
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -28,11 +30,22 @@ from .common import new_path, small_batches, stored, texts
 VOCABULARY = "word_bpe_49k.json"
 SCHEMA = "doc_id long, row long, ids array<int>"
 CACHE = 80_000
-STRIPE_BYTES, INDEX_ROWS = 8_388_608, 1_000
+STRIPE_BYTES, INDEX_ROWS, FILE_BYTES = 8_388_608, 1_000, 268_435_456
 #: Latin-1 letters and then marks: two pieces for the pre-tokenizer, the first one lower-cased letter by letter.
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
 
 
+# The steps before the model for which chunks and plain words give what whole texts give.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 def _byte_letters() -> dict[int, str]:
     """Byte-level vocabularies write printable bytes as themselves and the others, in order, from 256 up."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -44,11 +57,9 @@ class _Chunks(dict):
     """White-space-separated chunk -> ids as little-endian unsigned 32-bit integers. Plain words go to the library's
     model directly, as its normalizer and pre-tokenizer would hand them on; all else through the whole of it."""
 
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+    def __init__(self, tokenizer) -> None:
+        self.tokenizer = tokenizer
+        self.model = tokenizer.model
         self.letters = _byte_letters()
         self.old: dict[bytes, bytes] = {}
 
@@ -85,11 +96,18 @@ class Encoder:
     """ids(text) -> bytes of little-endian unsigned 32-bit integers, without an end id."""
 
     def __init__(self, path: str) -> None:
-        self.chunks = _Chunks(path)
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        steps = json.loads(tokenizer.to_str())
+        self.by_chunk = (steps["normalizer"], steps["pre_tokenizer"], steps["truncation"], steps["padding"]) == (NORMALIZER, PRE_TOKENIZER, None, None)
+        self.chunks = _Chunks(tokenizer)
 
     def ids(self, text: bytes | None) -> bytes:
         if not text:
             return b""
+        if not self.by_chunk:
+            return self.chunks.encoded(text.decode("utf-8"))
         if len(self.chunks) > CACHE:
             self.chunks.age()
         return b"".join(map(self.chunks.__getitem__, text.split()))
@@ -121,9 +139,11 @@ def _encode(path: str, end: int):
 
 
 def write_orc(docs: DataFrame, path: str, end: int = 1, vocabulary: str = VOCABULARY, stripe_bytes: int = STRIPE_BYTES, index_rows: int = INDEX_ROWS) -> None:
-    """One file for each range of doc_id, its number in its name: doc_id, row (place in the file) and ids with the end id."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """One file for each range of doc_id, its number in its name: doc_id, row (place in the file) and ids with the end id. There are as many
+    files as the session has shuffle partitions, and more where these would hold more than `FILE_BYTES` of text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
     keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ids = docs.repartitionByRange(n, *keys).sortWithinPartitions(*keys).mapInArrow(_encode(_path(vocabulary), end), SCHEMA)
     (

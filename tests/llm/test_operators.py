@@ -168,6 +168,25 @@ def test_encoder(ids_of):
         assert np.frombuffer(own.ids(t.encode()), "<u4").tolist() == ids_of(t)
 
 
+def test_other_vocabulary():
+    """A file with other steps before its model is encoded whole."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, library = tokens.Encoder(path), Tokenizer.from_file(path)
+    assert not own.by_chunk and tokens.Encoder(public_tokenizers.path(tokens.VOCABULARY)).by_chunk
+    for text in ("Two  words, and 12 more\n\tline", "É", "", " x"):
+        assert np.frombuffer(own.ids(text.encode()), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_cache_generations(ids_of, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 5)
+    own = tokens.Encoder(public_tokenizers.path(tokens.VOCABULARY))
+    rng = random.Random(2)
+    for _ in range(200):
+        text = " ".join(rng.choice("the of And, x1 zebra's Über quilt! a b c d e f g".split()) for _ in range(6))
+        assert np.frombuffer(own.ids(text.encode()), "<u4").tolist() == ids_of(text)
+        assert len(own.chunks) < 20 and len(own.chunks.old) < 20
+
+
 @pytest.mark.parametrize("windows", [1, 4, 64])
 def test_packing(spark, corpus, ids_of, windows):
     df = documents(spark, corpus, offset=1, start="x").repartition(3)
@@ -486,6 +505,22 @@ def test_classifiers(spark, module, name):
     assert {r["s"] for r in module.scored(docs, none, "s").collect()} == {0.5}
 
 
+def test_toxicity_by_hand(spark):
+    """Scores by plain sums of weights; repeated rows, long texts and texts of the same words score alike; identity terms move no score."""
+    docs, labels, _ = labelled(spark)
+    long = "women and men " * 30_000 + "grubb"
+    extra = [(3, long), (3, long), (700, "grubb men women and"), (None, "grubb and men and women"), (701, "muslim teachers sing"), (702, "jewish teachers sing"), (703, "teachers sing")]
+    docs = docs.union(spark.createDataFrame(extra, docs.schema))
+    model = toxicity.train(docs, labels, F.lit(True))
+    rows = toxicity.scored(docs.withColumn("__score", F.lit("x")), model, "s").collect()
+    for r in rows:
+        found = toxicity.features(set(re.findall(r"[^\W\d_]+", (r["text"] or "").lower()))) & set(model.weights)
+        assert r["s"] == pytest.approx(1 / (1 + math.exp(-(model.intercept + sum(model.weights[f] for f in found)))), abs=1e-9)
+    assert len({r["s"] for r in rows if r["text"] and set(r["text"].split()) == {"grubb", "men", "women", "and"}}) == 1
+    by = {r["doc_id"]: r["s"] for r in rows}
+    assert abs(by[701] - by[703]) < 0.02 and abs(by[702] - by[703]) < 0.02
+
+
 def test_counterfactual():
     """A term that only goes along with the label loses its weight when pairs that exchange it are held to one score."""
     x = [[0, 1]] * 30 + [[0]] * 10 + [[2]] * 40 + [[1, 2]] * 2
