@@ -98,8 +98,15 @@ def fit_logistic(x: list[list[int]], y: np.ndarray, pairs: list[tuple[list[int],
     ra, ca = _matrix([a for a, _ in pairs])
     rb, cb = _matrix([b for _, b in pairs])
     m, k = len(y), max(1, len(pairs))
-    most = max([1, *(len(r) for r in x)]) + 1
-    step = 1 / (0.25 * min(most, 60) + 4 * weight * bool(pairs))
+    u, ub, bound = np.cos(np.arange(n) * 2.4), 1.0, 1.0
+    for _ in range(30):  # power iteration: the largest curvature bounds the step
+        z = (np.bincount(rows, u[cols], m) + ub) / m / 4
+        d = np.bincount(ra, u[ca], len(pairs)) - np.bincount(rb, u[cb], len(pairs))
+        h = np.bincount(cols, z[rows], n) + 2 * weight / k * (np.bincount(ca, d[ra], n) - np.bincount(cb, d[rb], n))
+        hb = float(z.sum())
+        bound = max(1e-3, float(np.sqrt(h @ h + hb * hb)))
+        u, ub = h / bound, hb / bound
+    step = 1 / (1.2 * bound)
     w, b = np.zeros(n), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
     v, vb, t = w.copy(), b, 1.0
     for _ in range(steps):

@@ -523,12 +523,26 @@ def test_toxicity_by_hand(spark):
 
 def test_counterfactual():
     """A term that only goes along with the label loses its weight when pairs that exchange it are held to one score."""
-    x = [[0, 1]] * 30 + [[0]] * 10 + [[2]] * 40 + [[1, 2]] * 2
+    x = [[1]] * 30 + [[0]] * 10 + [[2]] * 40 + [[1, 2]] * 2
     y = np.array([1.0] * 40 + [0.0] * 42)
-    pairs = [([0, 1], [0, 3])] * 30 + [([1, 2], [3, 2])] * 2
+    pairs = [([1], [3])] * 30 + [([1, 2], [3, 2])] * 2
     free, _ = toxicity.fit_logistic(x, y, [], 4)
     held, _ = toxicity.fit_logistic(x, y, pairs, 4, weight=5.0)
-    assert abs(held[1] - held[3]) < 0.2 * abs(free[1] - free[3])
+    assert free[1] - free[3] > 2 and abs(held[1] - held[3]) < 0.2 * (free[1] - free[3])
+
+
+def test_counterfactual_of_long_texts():
+    """Few pairs that differ in many features: the fit stays finite, and at its minimum."""
+    rng = np.random.default_rng(4)
+    x = [sorted(set(rng.integers(0, 60, 20).tolist())) for _ in range(80)]
+    y = (rng.random(80) < 0.4).astype(float)
+    pairs = [(list(range(0, 30)), list(range(30, 60)))]
+    losses = []
+    for steps in (400, 4000):
+        w, b = toxicity.fit_logistic(x, y, pairs, 60, steps=steps)
+        z = np.array([w[r].sum() + b for r in x])
+        losses.append(np.mean(np.logaddexp(0, z) - y * z) + (w[:30].sum() - w[30:].sum()) ** 2 + toxicity.L1 * np.abs(w).sum())
+    assert losses[0] < losses[1] + 1e-3 and losses[1] < 0.7
     assert toxicity.counterfactual("All women vote. No one else.") != toxicity.words_of("All women vote. No one else.")
     assert toxicity.counterfactual("nothing here") is None
 
