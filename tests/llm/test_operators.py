@@ -523,7 +523,7 @@ def test_toxicity_by_hand(spark):
 
 def test_counterfactual():
     """A term that only goes along with the label loses its weight when pairs that exchange it are held to one score."""
-    x = [[1]] * 30 + [[0]] * 10 + [[2]] * 40 + [[1, 2]] * 2
+    x = [[1]] * 30 + [[0]] * 10 + [[]] * 30 + [[2]] * 10 + [[1, 2]] * 2
     y = np.array([1.0] * 40 + [0.0] * 42)
     pairs = [([1], [3])] * 30 + [([1, 2], [3, 2])] * 2
     free, _ = toxicity.fit_logistic(x, y, [], 4)
