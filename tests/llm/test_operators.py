@@ -532,17 +532,17 @@ def test_counterfactual():
 
 
 def test_counterfactual_of_long_texts():
-    """Few pairs that differ in many features: the fit stays finite, and at its minimum."""
+    """Few pairs that differ in many features: the loss falls from step to step instead of growing without end."""
     rng = np.random.default_rng(4)
     x = [sorted(set(rng.integers(0, 60, 20).tolist())) for _ in range(80)]
     y = (rng.random(80) < 0.4).astype(float)
     pairs = [(list(range(0, 30)), list(range(30, 60)))]
     losses = []
-    for steps in (400, 4000):
+    for steps in (0, 40, 400, 4000):
         w, b = toxicity.fit_logistic(x, y, pairs, 60, steps=steps)
         z = np.array([w[r].sum() + b for r in x])
         losses.append(np.mean(np.logaddexp(0, z) - y * z) + (w[:30].sum() - w[30:].sum()) ** 2 + toxicity.L1 * np.abs(w).sum())
-    assert losses[0] < losses[1] + 1e-3 and losses[1] < 0.7
+    assert losses == sorted(losses, reverse=True) and losses[-1] < 0.1
     assert toxicity.counterfactual("All women vote. No one else.") != toxicity.words_of("All women vote. No one else.")
     assert toxicity.counterfactual("nothing here") is None
 
