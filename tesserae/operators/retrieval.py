@@ -9,6 +9,8 @@ from ..functions import dot, terms, unique_terms
 
 #: Rank of kinds among equal matches.
 KIND_RANK = {"row": 5, "route": 4, "column": 3, "table": 2, "database": 1}
+#: The more specific kind comes first among candidates of one score.
+SPECIFIC = {"route": 3, "table": 2, "database": 1}
 LIMITS = {"characters": 256, "terms": 32, "rows": 64, "least_bytes": 256, "most_bytes": 65_536}
 
 
@@ -29,17 +31,39 @@ def lexical_locations(found: DataFrame, wanted: DataFrame, keys: list[str]) -> D
     return hits.groupBy(*keys).agg(F.count_distinct("term").alias("matched_term_count"), F.count_distinct("field_id").alias("matched_field_count"), F.sum("frequency").alias("frequency"), F.array_sort(F.collect_set("field_id")).alias("matched_field_ids"))
 
 
-def ranked(locations: DataFrame, keys: list[str], limit: int) -> DataFrame:
+def rank_order(locations: DataFrame, keys: list[str]) -> list[Column]:
+    """More terms, fields and occurrences first, then the kind's rank, then the keys."""
     rank = [F.desc("matched_term_count"), F.desc("matched_field_count"), F.desc("frequency")]
     if "kind" in locations.columns:
-        rank.append(F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in KIND_RANK.items()], F.lit(0)).desc())
-    return locations.orderBy(*rank, *keys).limit(limit)
+        rank.append(_ranked(KIND_RANK).desc())
+    return [*rank, *map(F.col, keys)]
+
+
+def _ranked(ranks: dict[str, int]) -> Column:
+    return F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in ranks.items()], F.lit(0))
+
+
+def ranked(locations: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    return locations.orderBy(*rank_order(locations, keys)).limit(limit)
 
 
 def route_candidates(fields: DataFrame, wanted: Column, keys: list[str], limit: int) -> DataFrame:
-    """Objects by the sum over fields of distinct matching terms."""
+    """Objects by the sum over fields of distinct matching terms. Where they have a kind, the more specific one comes first among equals."""
     score = F.size(F.array_intersect(unique_terms(F.col("value")), wanted)).cast("long")
-    return fields.groupBy(*keys).agg(F.sum(score).alias("score")).where("score > 0").orderBy(F.desc("score"), *keys).limit(limit)
+    out = fields.groupBy(*keys).agg(F.sum(score).alias("score")).where("score > 0")
+    return out.orderBy(*_specific(out, keys)).limit(limit)
+
+
+def route_scores(found: DataFrame, limit: int) -> DataFrame:
+    """The same from postings: KEYS without the revision, and the score."""
+    keys = ["kind", "database_id", "table_id", "object_id"]
+    out = found.select(*keys, "field_id", "term").distinct().groupBy(*keys).agg(F.count("*").alias("score"))
+    return out.orderBy(*_specific(out, keys)).limit(limit)
+
+
+def _specific(out: DataFrame, keys: list[str]) -> list[Column]:
+    kind = [_ranked(SPECIFIC).desc()] if "kind" in out.columns else []
+    return [F.desc("score"), *kind, *(F.col(k) for k in keys if k != "kind")]
 
 
 def vector_candidates(vectors: DataFrame, query: list[float], limit: int, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
