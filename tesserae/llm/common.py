@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -71,6 +71,33 @@ def texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def bit_test(keys: Column, rows: DataFrame, most_bits: int):
+    """A test, in the JVM, that every value of `keys` in `rows` passes and few others do: a Bloom filter with two bits a value and 16 bits of room for
+    each, 2^most_bits at most (beyond that it lets more values through, and what follows decides). The driver holds its bits. None if there
+    are no rows."""
+    n = rows.count()
+    if not n:
+        return None
+    bits = min(most_bits, max(10, (16 * n - 1).bit_length()))
+
+    def spots(value: Column) -> tuple[Column, Column]:
+        h = F.xxhash64(value)
+        return F.pmod(h, F.lit(1 << bits)).cast("int"), F.pmod(F.shiftright(h, 32), F.lit(1 << bits)).cast("int")
+
+    held = rows.select(F.explode(F.array(*spots(keys))).alias("h"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("h", F.lit(64)).cast("int"))
+    words = ["0"] * (1 << (bits - 6))
+    for r in held.select(F.shiftright("h", 6).alias("i"), bit.alias("b")).groupBy("i").agg(F.bit_or("b").alias("b")).collect():
+        words[r["i"]] = str(r["b"])
+    array = F.split(F.lit(",".join(words)), ",").cast("array<long>")  # folded into one literal
+
+    def test(value: Column) -> Column:
+        one, two = (F.getbit(F.get(array, F.shiftright(h, 6)), F.pmod(h, F.lit(64)).cast("int")) == 1 for h in spots(value))
+        return one & two
+
+    return test
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the frame doesn't have."""
     taken = {c.lower() for c in df.columns}

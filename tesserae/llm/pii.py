@@ -11,7 +11,7 @@ it is removed from `remove` up and generalised to [TERM] below that, wherever it
 
 Pairs are counted where they can pass alone. A value needs `support` texts, and not more than the share of the corpus that
 `bits` allows; a term needs `support` of the texts with such values, and not more than the commonest value has over
-`generalise`. A text gives as many pairs as it has such values times such terms, and they are added up before
+`generalise`, counted over all texts with matches. A text gives as many pairs as it has such values times such terms, and they are added up before
 they are shuffled. Words of all documents are compared with a Bloom filter of the terms (16 bits a term, half a
 MB at most; beyond that it lets more words through) before the exact join, so few words are shuffled.
 
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, remove, stored
+from .common import bit_test, fresh, remove, stored
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -104,33 +104,12 @@ def _outside(text: Column) -> Column:
     return F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["parts"], " "), F.lit(" "), F.substr(text, acc["at"] + 1, F.char_length(text))))
 
 
-def _bit_test(terms: DataFrame, n: int):
-    """A test that each of n terms passes and few other words do: a Bloom filter of bounded size, which the driver can hold."""
-    if not n:
-        return None
-    bits = min(MOST_HASH_BITS, max(10, (16 * n - 1).bit_length()))
+def _bit_test(terms: DataFrame):
+    return bit_test(F.col("term"), terms, MOST_HASH_BITS)
 
-    def spots(term: Column) -> tuple[Column, Column]:
-        h = F.xxhash64(term)
-        return F.pmod(h, F.lit(1 << bits)).cast("int"), F.pmod(F.shiftright(h, 32), F.lit(1 << bits)).cast("int")
 
-    held = terms.select(F.explode(F.array(*spots(F.col("term")))).alias("h"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("h", F.lit(64)).cast("int"))
-    rows = held.select(F.shiftright("h", 6).alias("i"), bit.alias("b")).groupBy("i").agg(F.bit_or("b").alias("b")).collect()
-    words = ["0"] * (1 << (bits - 6))
-    for r in rows:
-        words[r["i"]] = str(r["b"])
-    array = F.split(F.lit(",".join(words)), ",").cast("array<long>")  # folded into one literal
-
-    def test(word: Column) -> Column:
-        one, two = (F.getbit(F.get(array, F.shiftright(h, 6)), F.pmod(h, F.lit(64)).cast("int")) == 1 for h in spots(word))
-        return one & two
-
-    return test
-
-
-def disclosing_terms(light: DataFrame, texts: DataFrame, support: int = SUPPORT, bits: float = BITS, generalise: float = GENERALISE) -> tuple[DataFrame, int, list[str]]:
-    """(term, disclosure) of words that give a protected value away, their number, and the folders in use. `light` has the keys and base
+def disclosing_terms(light: DataFrame, texts: DataFrame, support: int = SUPPORT, bits: float = BITS, generalise: float = GENERALISE) -> tuple[DataFrame, list[str]]:
+    """(term, disclosure) of words that give a protected value away, and the folders in use. `light` has the keys and base
     spans of all rows, and the texts of those with a match; `texts` has the key and text of all."""
     spark, paths = light.sparkSession, []
 
@@ -139,7 +118,7 @@ def disclosing_terms(light: DataFrame, texts: DataFrame, support: int = SUPPORT,
         paths.append(path)
         return df
 
-    none = spark.createDataFrame([], "term string, disclosure double"), 0, paths
+    none = spark.createDataFrame([], "term string, disclosure double"), paths
     values = F.array_distinct(F.concat(*[F.transform(k, lambda s: F.md5(F.lower(s["value"]))) for k in KINDS]))
     n_texts = light.select("key").distinct().count()
     owned = light.where(_ANY).select("key", F.explode(values).alias("value")).distinct()
@@ -148,15 +127,21 @@ def disclosing_terms(light: DataFrame, texts: DataFrame, support: int = SUPPORT,
     if most is None:
         return none
     owned = keep(owned.join(live, "value").groupBy("key").agg(F.collect_list("value").alias("values"), F.max("n_value").alias("most")), "pii-owned")
-    body = light.where(_ANY).select("key", "text", *KINDS).dropDuplicates(["key"]).join(owned, "key")
-    body = keep(body.select("values", "most", _words(_outside(F.col("text"))).alias("words")), "pii-live")
+    words = keep(light.where(_ANY).select("key", "text", *KINDS).dropDuplicates(["key"]).select("key", _words(_outside(F.col("text"))).alias("words")), "pii-words")
+    body = keep(words.join(owned, "key").select("values", "most", "words"), "pii-live")
     near = F.col("words")
     around = F.transform(near, lambda w, i: F.struct(w.alias("term"), F.xxhash64(F.get(near, i - 1), F.get(near, i + 1)).alias("between")))
     settings = body.select(F.explode(F.array_distinct(around)).alias("w")).select("w.term", "w.between").distinct().groupBy("term").agg(F.count("*").alias("n_between"))
-    terms = body.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
-    terms = terms.where((F.col("n_near") >= support) & (F.col("n_near") * generalise <= most)).join(settings.where(F.col("n_between") >= support).select("term"), "term", "left_semi")
-    terms = keep(terms, "pii-words")
-    test = _bit_test(terms, terms.count())
+    terms = body.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("n_live"))
+    terms = terms.where((F.col("n_live") >= support) & (F.col("n_live") * generalise <= most)).join(settings.where(F.col("n_between") >= support).select("term"), "term", "left_semi")
+    terms = keep(terms.select("term"), "pii-terms")
+    test = _bit_test(terms)
+    if test is None:
+        return none
+    # of all texts with matches: a term that stands in many without these values falls out before the whole corpus is read for it
+    near = words.select(F.explode(F.filter(F.array_distinct("words"), test)).alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
+    terms = keep(near.where(F.col("n_near") * generalise <= most).join(terms, "term", "left_semi"), "pii-near")
+    test = _bit_test(terms)
     if test is None:
         return none
     # a term that more texts have than the commonest value of this one allows isn't given away by this one
@@ -166,7 +151,7 @@ def disclosing_terms(light: DataFrame, texts: DataFrame, support: int = SUPPORT,
     pairs = pairs.join(terms, "term").where(F.col("n_both") >= generalise * F.col("n_near")).join(live, "value")
     pairs = keep(pairs.where(F.log2(F.col("n_both") / F.col("n_near") * n_texts / F.col("n_value")) >= bits), "pii-pairs")
     chosen = keep(pairs.select("term").distinct(), "pii-chosen")
-    test = _bit_test(chosen, chosen.count())
+    test = _bit_test(chosen)
     if test is None:
         return none
     seen = texts.select("key", F.explode(F.array_distinct(F.filter(_words(F.col("text")), test))).alias("term")).distinct()
@@ -174,12 +159,12 @@ def disclosing_terms(light: DataFrame, texts: DataFrame, support: int = SUPPORT,
     judged = pairs.join(n_term, "term").withColumn("p", F.col("n_both") / F.col("n_term"))
     judged = judged.where((F.col("p") >= generalise) & (F.log2(F.col("p") * n_texts / F.col("n_value")) >= bits))
     judged = keep(judged.groupBy("term").agg(F.max("p").alias("disclosure")), "pii-terms")
-    return judged, judged.count(), paths
+    return judged, paths
 
 
-def term_spans(light: DataFrame, texts: DataFrame, terms: DataFrame, n: int, remove: float = REMOVE) -> DataFrame:
+def term_spans(light: DataFrame, texts: DataFrame, terms: DataFrame, remove: float = REMOVE) -> DataFrame:
     """(key, term: spans of disclosing words that don't touch base spans) of the texts that have any."""
-    test = _bit_test(terms, n)
+    test = _bit_test(terms)
     if test is None:
         return light.where("false").select("key", F.array().cast(_TERM_SPANS).alias("term"))
     some = texts.where(F.exists(_words(F.col("text")), test))
@@ -193,20 +178,20 @@ def term_spans(light: DataFrame, texts: DataFrame, terms: DataFrame, n: int, rem
     return hits.select("key", clear.alias("term")).where("size(term) > 0")
 
 
-def _learned(docs: DataFrame, remove_from: float, **thresholds: float) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """Keys and base spans of all rows; key and text of all rows; spans of disclosing words by key; these words and their number."""
+def _learned(docs: DataFrame, remove_from: float, **thresholds: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Keys and base spans of all rows, spans of disclosing words by key, and these words."""
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(F.md5("text").alias("key"), "text")
     light, _ = stored(with_base(docs).withColumn("text", F.when(F.expr(_ANY), F.col("text"))), "pii-base")
-    terms, n, paths = disclosing_terms(light, texts, **thresholds)
-    spans, _ = stored(term_spans(light, texts, terms, n, remove_from), "pii-spans", few=True)
+    terms, paths = disclosing_terms(light, texts, **thresholds)
+    spans, _ = stored(term_spans(light, texts, terms, remove_from), "pii-spans", few=True)
     terms, _ = stored(terms, "pii-terms", few=True)
     remove(docs.sparkSession, *paths)
-    return light.drop("text"), spans, terms, n
+    return light.drop("text"), spans, terms
 
 
 def find(docs: DataFrame, remove_from: float = REMOVE, **thresholds: float) -> DataFrame:
     """Per row: doc_id, key, spans of each base kind and of disclosing terms."""
-    light, spans, _, _ = _learned(docs, remove_from, **thresholds)
+    light, spans, _ = _learned(docs, remove_from, **thresholds)
     return light.join(spans, "key", "left").withColumn("term", F.coalesce("term", F.array().cast(_TERM_SPANS)))
 
 
@@ -219,9 +204,9 @@ def sanitise(docs: DataFrame, remove_from: float = REMOVE, **thresholds: float)
     """The input's rows with base matches replaced by [EMAIL] and so on, disclosing terms removed or generalised to
     [TERM], and n_chars, where there is one, counted anew. Where spans overlap, the earliest and then the longest stays; null texts stay null.
     Base matches are found in place, so only rows that may have a disclosing term are shuffled."""
-    _, spans, terms, n = _learned(docs, remove_from, **thresholds)
+    _, spans, terms = _learned(docs, remove_from, **thresholds)
     key, term = fresh(docs, "key"), fresh(docs, "term")
-    test = _bit_test(terms, n)
+    test = _bit_test(terms)
     if test is None:
         return _replaced(docs, None)
     maybe = fresh(docs, "maybe")

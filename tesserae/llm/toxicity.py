@@ -178,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
     return Model({f: float(v) for f, v in zip(names, w, strict=True) if v}, b)
 
 
-CACHE = 100_000
+CACHE = 50_000
 
 
 def _score(shared, at: int, name: str):
