@@ -57,6 +57,18 @@ def bounded_scan(rows: DataFrame, order: list, condition, scan: int, limit: int)
     return rows.orderBy(*order).limit(scan).where(condition).orderBy(*order).limit(limit)
 
 
+def key_range(rows: DataFrame, key: str, start, end, limit: int, after=None) -> DataFrame:
+    """Rows with keys from `start` up to but not including `end`, in order, after the key that the page before ended with."""
+    for bound, test in ((start, F.col(key) >= F.lit(start)), (end, F.col(key) < F.lit(end)), (after, F.col(key) > F.lit(after))):
+        rows = rows if bound is None else rows.where(test)
+    return rows.orderBy(key).limit(limit)
+
+
+def windowed_rows(log: DataFrame, scan: int) -> DataFrame:
+    """Live rows among the first `scan` keys in scan order: rows that are gone use up the window, too."""
+    return latest(log).orderBy(*scan_order()).limit(scan).where("row_state = 'live'")
+
+
 def restore(log: DataFrame, row_id, revision: int, commit: int) -> DataFrame:
     """The log with a further version of the row that has an old revision's values."""
     head = log.where(F.col("row_id") == row_id).agg(F.max("revision").alias("r"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import relation_pages
+from ..store.files import Files
 
 
 def render(rows: DataFrame, edges: DataFrame) -> DataFrame:
@@ -25,8 +28,36 @@ def removed(pages: DataFrame, manifest: DataFrame) -> DataFrame:
     return manifest.join(pages, "row_id", "left_anti").select("row_id")
 
 
-def export(pages: DataFrame, path: str, manifest: DataFrame | None = None) -> DataFrame:
-    """Writes changed pages as text, 16 folders by hash of the id, and returns the new manifest."""
-    out = changed(pages, manifest).withColumn("part", F.pmod(F.xxhash64("row_id"), F.lit(16)))
-    out.select("part", F.to_json(F.struct("row_id", "page")).alias("value")).write.mode("append").partitionBy("part").text(f"{path}/pages")
-    return pages.select("row_id", "digest")
+def file_name(row_id: Column) -> Column:
+    """Letters, digits, dots and dashes stay; other characters are written by their number."""
+    safe = lambda c: F.when(c.rlike("[A-Za-z0-9.-]"), c).otherwise(F.concat(F.lit("_"), F.hex(c.cast("binary")), F.lit("_")))
+    return F.concat(F.lit("p-"), F.array_join(F.transform(F.split(row_id, ""), safe), ""), F.lit(".md"))
+
+
+def sync(spark: SparkSession, pages: DataFrame, path: str) -> dict:
+    """Brings a folder in line with the pages: one Markdown file a row, written where its digest differs from the manifest's, and deleted where
+    the row is gone. Tasks write through Hadoop's file system by Spark's own writer: each page is a partition's only file, then renamed
+    by the driver, which moves as many files as there are changed pages. The manifest is written last, so a run that
+    was cut short is done again."""
+    files = Files(spark, path)
+    files.make("")
+    old = spark.read.schema("row_id string, digest string, file string").json(f"{path}/_manifest") if files.exists("_manifest") else None
+    now = pages.withColumn("file", file_name(F.col("row_id")))
+    fresh = now if old is None else now.join(old.select("row_id", "digest"), ["row_id", "digest"], "left_anti")
+    gone = [] if old is None else [r[0] for r in old.join(now, "row_id", "left_anti").select("file").collect()]
+    fresh.select("file", F.col("page").alias("value")).write.mode("overwrite").partitionBy("file").option("lineSep", "\n").text(f"{path}/_new")
+    written = 0
+    for folder in files.names("_new"):
+        if folder.startswith("file="):
+            name = unquote(folder.removeprefix("file="))
+            part = next(n for n in files.names(f"_new/{folder}") if n.startswith("part-"))
+            files.delete(name)
+            files.move(f"_new/{folder}/{part}", name)
+            written += 1
+    files.delete("_new")
+    for name in gone:
+        files.delete(name)
+    now.select("row_id", "digest", "file").coalesce(1).write.mode("overwrite").json(f"{path}/_manifest_new")
+    files.delete("_manifest")
+    files.move("_manifest_new", "_manifest")
+    return {"pages": now.count(), "written": written, "removed": len(gone)}

@@ -81,5 +81,9 @@ class Files:
         finally:
             self.delete(aside)
 
+    def move(self, name: str, to: str) -> None:
+        if not self._fs.rename(self._path(name), self._path(to)):
+            raise FileNotFoundError(name)
+
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)

@@ -23,7 +23,8 @@ from ..language.errors import StatementError
 from .files import Files
 
 ENTRY = "kind string, database_id string, table_id string, object_id string, revision long, state string, operation string, schema_version long, body string"
-META = "commit_sequence long, transaction_id string, committed_at string, actor string, source string, source_kind string, reason string, checksum string"
+META = "commit_sequence long, transaction_id string, committed_at string, actor string, source string, source_kind string, reason string, source_receipt_id string, source_locator string, source_content_hash string, checksum string"
+PROVENANCE = ("actor", "source", "source_kind", "reason", "source_receipt_id", "source_locator", "source_content_hash")
 MOST_ENTRIES, MERGE = 4096, 8
 _NAMES = [f.split()[0] for f in ENTRY.split(", ")]
 _PROVENANCE = ["commit_sequence", "updated_at", "actor", "source", "source_kind", "reason"]
@@ -64,7 +65,7 @@ class CommitLog:
         if len(entries) > MOST_ENTRIES:
             raise StatementError("constraint_violation", f"more than {MOST_ENTRIES} entries")
         entries = sorted(entries, key=lambda e: (e["kind"], e.get("table_id") or "", e["object_id"], e["revision"]))
-        body = {"commit_sequence": expected + 1, "committed_at": datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f"), **{k: meta.get(k) for k in ("actor", "source", "source_kind", "reason")}, "entries": entries}
+        body = {"commit_sequence": expected + 1, "committed_at": datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f"), **{k: meta.get(k) for k in PROVENANCE}, "entries": entries}
         checksum = hashlib.sha256(json.dumps(body, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
         body |= {"transaction_id": f"txn_{checksum[:32]}", "checksum": checksum}
         try:
@@ -96,7 +97,7 @@ class CommitLog:
     def versions(self, kind: str | list[str], snapshot: int | None = None, table_id: str | None = None, object_id: str | None = None, after: int = 0) -> DataFrame:
         """Versions of one kind of object, or of several, with their commit's provenance; of one table or object alone if it is named."""
         last, folders = self._folded()
-        parts = [self.spark.read.schema(_VERSIONS).parquet(*[f"{self.root}/{f}/versions" for f in folders]).select(*_NAMES, *_PROVENANCE)] if folders and after < last else []
+        parts = [self.spark.read.schema(_VERSIONS).parquet(f"{self.root}/{f}/versions").select(*_NAMES, *_PROVENANCE) for f in folders] if after < last else []
         tail = self._tail(max(last, after), snapshot)
         parts += [_exploded(tail)] if tail is not None else []
         if not parts:

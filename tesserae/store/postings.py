@@ -52,7 +52,11 @@ class Postings:
     def _parts(self, folders: list[str], what: str, schema: str) -> DataFrame:
         if not folders:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{f}/{what}" for f in folders])
+        out = None
+        for f in folders:  # partitioned folders are read one by one
+            part = self.spark.read.schema(schema).parquet(f"{self.root}/{f}/{what}")
+            out = part if out is None else out.unionByName(part)
+        return out
 
     def _write(self, folder: str, postings: DataFrame, heads: DataFrame) -> None:
         postings.repartition("part").sortWithinPartitions("part", "term", "object_id").write.partitionBy("part").parquet(f"{self.root}/{folder}/postings")

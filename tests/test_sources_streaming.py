@@ -54,8 +54,13 @@ def test_pages(spark, tmp_path):
     edges = spark.createDataFrame([("a", "cites", "b"), ("a", "cites", "gone")], "source_id string, relation_type string, target_id string")
     found = pages.render(rows, edges)
     assert {r["row_id"]: "[[" in r["page"] for r in found.collect()} == {"a": True, "b": True}
-    manifest = pages.export(found, f"file://{tmp_path}/w")
-    assert pages.changed(found, manifest).isEmpty()
+    path = f"file://{tmp_path}/w"
+    assert pages.sync(spark, found, path) == {"pages": 2, "written": 2, "removed": 0}
+    assert (tmp_path / "w" / "p-a.md").read_text().startswith("# A\n\ntext\n\n## Relations")
+    changed = pages.render(rows.where("row_id = 'a'").union(spark.createDataFrame([("c/ü", "C", "x")], rows.schema)), edges)
+    assert pages.sync(spark, changed, path) == {"pages": 2, "written": 2, "removed": 1}
+    assert pages.sync(spark, changed, path) == {"pages": 2, "written": 0, "removed": 0}
+    assert sorted(p.name for p in (tmp_path / "w").glob("*.md")) == ["p-a.md", "p-c_2F__C3BC_.md"]
 
 
 def test_tail_and_ingest(spark, tmp_path):
