@@ -7,16 +7,22 @@ from pyspark.sql import functions as F
 
 #: A run of Han characters, or a run of other letters and digits; all else separates.
 RUN = r"\p{IsHan}+|[\p{L}\p{Nd}&&[^\p{IsHan}]]+"
-HAN = r"^\p{IsHan}"
+HAN, ANY_HAN, WORD = r"^\p{IsHan}", r"\p{IsHan}", r"[\p{L}\p{Nd}]++"
 NUMBER = r"[-+]?[0-9]+(?:\.[0-9]+)?%?"
 WILSON_Z = 1.959963984540054
 
 
+def lowered(text: Column) -> Column:
+    """Letter by letter: a capital sigma gives the same small one at a word's end as elsewhere, a dotted capital I gives an i."""
+    return F.lower(F.translate(text, "\u03a3\u0130", "\u03c3i"))
+
+
 def terms(text: Column) -> Column:
     """Lower-cased words; a Han run gives its overlapping pairs, or itself if single. Repeats stay. Null text: null."""
-    runs = F.regexp_extract_all(text, F.lit(RUN), F.lit(0))
+    low = lowered(text)
     pairs = lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(r) - 1, F.lit(1))), lambda i: F.substr(r, i, F.lit(2)))
-    return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(HAN), pairs(r)).otherwise(F.array(F.lower(r)))))
+    mixed = F.flatten(F.transform(F.regexp_extract_all(low, F.lit(RUN), F.lit(0)), lambda r: F.when(r.rlike(HAN), pairs(r)).otherwise(F.array(r))))
+    return F.when(low.rlike(ANY_HAN), mixed).otherwise(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)))
 
 
 def unique_terms(text: Column) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def relations(edges: DataFrame, endpoint: dict, direction: str, limit: int, order: list[str]) -> DataFrame:
     """Live edges that leave (OUTGOING) or reach (INCOMING) an endpoint."""
@@ -36,19 +38,18 @@ def children_at_root(routes: DataFrame, table_id) -> DataFrame:
     return routes.where(~F.col("deleted")).join(roots, "parent_id", "left_semi").orderBy("name", "route_id")
 
 
-def paths(spark: SparkSession, routes: DataFrame, root: str | None = None) -> DataFrame:
-    """route_id, path and depth of every node below each root (or one node), by a recursive query."""
-    routes.createOrReplaceTempView("__routes")
-    start = "parent_id IS NULL" if root is None else "route_id = :root"
-    return spark.sql(
-        f"""WITH RECURSIVE tree(route_id, path, depth) AS (
-            SELECT route_id, '/' AS path, 0 AS depth FROM __routes WHERE {start} AND NOT deleted
-            UNION ALL
-            SELECT r.route_id, CASE WHEN t.path = '/' THEN concat('/', r.name) ELSE concat(t.path, '/', r.name) END, t.depth + 1
-            FROM __routes r JOIN tree t ON r.parent_id = t.route_id WHERE NOT r.deleted)
-        SELECT route_id, path, depth FROM tree""",
-        args={} if root is None else {"root": root},
-    )
+def paths(routes: DataFrame, root: str | None = None) -> DataFrame:
+    """route_id, path and depth of every live node below each root (or one node). One join a level, each level written out, so neither
+    the number of nodes nor the depth is limited; a cycle isn't reached from a root."""
+    live = routes.where(~F.col("deleted")).select("route_id", "parent_id", "name")
+    level = live.where(F.col("parent_id").isNull() if root is None else F.col("route_id") == root).select("route_id", F.lit("/").alias("path"), F.lit(0).alias("depth"))
+    out = level = cut(level)
+    while not level.isEmpty():
+        path = F.when(F.col("path") == "/", F.concat(F.lit("/"), "name")).otherwise(F.concat("path", F.lit("/"), "name"))
+        parents = level.withColumnRenamed("route_id", "parent_id")
+        level = cut(live.join(parents, "parent_id").select("route_id", path.alias("path"), (F.col("depth") + 1).alias("depth")))
+        out = out.unionByName(level)
+    return out
 
 
 def fanout_violations(routes: DataFrame, most: int) -> DataFrame:

@@ -61,6 +61,38 @@ def issue_report(issues: list[DataFrame], most: int = MOST_ISSUES) -> DataFrame:
     return out.orderBy("kind", "object_id", "detail").limit(most)
 
 
+def route_structure(routes: DataFrame, tables: DataFrame) -> DataFrame:
+    """Tables that haven't exactly one root, and routes whose parent is missing, is a leaf, or belongs to another table: kind, object_id, detail."""
+    live = routes.where(~F.col("deleted"))
+    roots = tables.select("table_id").join(live.where("kind = 'root' and parent_id is null").groupBy("table_id").agg(F.count("*").alias("n")), "table_id", "left")
+    wrong = roots.where(F.coalesce("n", F.lit(0)) != 1).select(F.lit("invalid_route_structure").alias("kind"), F.col("table_id").alias("object_id"), F.concat(F.coalesce("n", F.lit(0)).cast("string"), F.lit(" roots")).alias("detail"))
+    parents = live.select(F.col("route_id").alias("p_id"), F.col("table_id").alias("p_table"), F.col("kind").alias("p_kind"))
+    joined = live.join(parents, live["parent_id"] == parents["p_id"], "left")
+    fine = F.when(F.col("kind") == "root", F.col("parent_id").isNull()).otherwise(F.coalesce((F.col("p_table") == F.col("table_id")) & (F.col("p_kind") != "leaf"), F.lit(False)))
+    known = joined.join(tables.select(F.col("table_id").alias("t_id")), joined["table_id"] == F.col("t_id"), "left")
+    odd = known.where(~fine | F.col("t_id").isNull()).select(F.lit("invalid_route_structure").alias("kind"), F.col("route_id").alias("object_id"), F.lit("parent").alias("detail"))
+    return wrong.unionByName(odd)
+
+
+def foreign_memberships(memberships: DataFrame, routes: DataFrame) -> DataFrame:
+    """Memberships whose row belongs to another table than the leaf."""
+    leaves = routes.where(~F.col("deleted")).select(F.col("route_id").alias("leaf_id"), F.col("table_id").alias("leaf_table"))
+    return memberships.where(~F.col("deleted")).join(leaves, "leaf_id").where(F.col("table_id") != F.col("leaf_table")).drop("leaf_table")
+
+
+def unrouted_of_complete(rows: DataFrame, memberships: DataFrame, incomplete: DataFrame) -> DataFrame:
+    """Rows without a leaf, of tables whose scan is complete alone: `incomplete` names the others."""
+    return unrouted_rows(rows, memberships).join(incomplete.select("table_id"), "table_id", "left_anti")
+
+
+def report_hash(report: DataFrame) -> DataFrame:
+    """status, issue_count and hash of a bounded report: SHA-256 of its lines in their order."""
+    line = F.concat_ws("\u0001", "kind", "object_id", "detail")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("kind", "object_id", "detail", line.alias("line")))), lambda x: x["line"])
+    out = report.agg(F.count("*").alias("issue_count"), F.sha2(F.array_join(lines, "\n"), 256).alias("hash"))
+    return out.withColumn("status", F.when(F.col("issue_count") > 0, "attention").otherwise("healthy"))
+
+
 def three_way_merge(base: DataFrame, local: DataFrame, incoming: DataFrame, key: str, value: str) -> DataFrame:
     """key, action (local, incoming or conflict) and merged value; absence counts as a value."""
     side = lambda df, name: df.select(key, F.struct(F.col(value).alias("v")).alias(name))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..language.session import Session
 from ..functions import int_divide, int_remainder, numeric_tokens, two_valued, unique_terms
 from ..operators import graph, health, metrics, retrieval, versions
 
@@ -55,9 +56,11 @@ def scan_filter_limit(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").where("l_quantity >= 30 and l_discount < 0.05").select("l_orderkey", "l_linenumber", "l_quantity").orderBy("l_orderkey", "l_linenumber").limit(1000)
 
 
-@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS row_id, CAST(1 AS BIGINT) AS revision, CAST(0 AS BIGINT) AS commit_sequence, 'live' AS row_state, CAST(1 AS BIGINT) AS schema_version, CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation")
 def star_projection(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    s = Session(spark)
+    s.attach("tpch", "nation", table(spark, sf_dir, "nation"), row_id="n_nationkey")
+    return s.plan("SELECT * FROM tpch.nation", bounded=False)
 
 
 @query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey = 7")
@@ -84,9 +87,9 @@ def bounded_scan_window(spark, sf_dir):
     return versions.bounded_scan(table(spark, sf_dir, "events").select("event_id", "user_id"), ["event_id"], "user_id % 7 = 0", 1000, 50)
 
 
-@query(f"WITH {LOG} SELECT row_id, revision, commit_sequence, row_state, l_partkey, l_quantity FROM log WHERE row_id = 7 AND revision = 2 AND row_id NOT IN (SELECT row_id FROM hidden)")
+@query(f"WITH {LOG} SELECT row_id, revision, commit_sequence, row_state, l_partkey, l_quantity FROM log WHERE row_id = 2 AND revision = 1 AND row_id NOT IN (SELECT row_id FROM hidden)")
 def asof_revision(spark, sf_dir):
-    return versions.as_of_revision(version_log(spark, sf_dir), 7, 2)
+    return versions.as_of_revision(version_log(spark, sf_dir), 2, 1)
 
 
 @query(f"""WITH {LOG} SELECT row_id, revision, commit_sequence, row_state, l_partkey, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY revision DESC) AS r FROM log WHERE commit_sequence <= 320003)
@@ -105,18 +108,20 @@ def deleted_hidden(spark, sf_dir):
     return versions.hidden_ids(version_log(spark, sf_dir))
 
 
-@query(f"WITH {LOG} SELECT row_id, revision, commit_sequence, row_state FROM log WHERE row_id = 7 AND row_id NOT IN (SELECT row_id FROM hidden) ORDER BY revision LIMIT 5")
+@query(f"WITH {LOG} SELECT row_id, revision, commit_sequence, row_state FROM log WHERE row_id = 2 AND row_id NOT IN (SELECT row_id FROM hidden) ORDER BY revision LIMIT 5")
 def history_page(spark, sf_dir):
-    return versions.history(version_log(spark, sf_dir), 7, 5)
+    return versions.history(version_log(spark, sf_dir), 2, 5)
 
 
 @query(f"""WITH {LOG}, old AS (SELECT * FROM log WHERE row_id IN (1, 2, 3, 5, 6, 7, 8, 36, 40, 41, 42, 43) AND revision = 1 AND row_id NOT IN (SELECT row_id FROM hidden)),
   head AS (SELECT row_id, max(revision) AS r FROM log GROUP BY row_id) SELECT old.row_id, r + 1 AS revision, old.l_partkey, old.l_quantity FROM old JOIN head USING (row_id)""")
 def restored_rows(spark, sf_dir):
-    log = version_log(spark, sf_dir).where("row_id in (1, 2, 3, 5, 6, 7, 8, 36, 40, 41, 42, 43)")
-    head = log.groupBy("row_id").agg(F.max("revision").alias("r"))
-    old = log.where("revision = 1").join(versions.hidden_ids(log), "row_id", "left_anti")
-    return old.join(head, "row_id").select("row_id", (F.col("r") + 1).alias("revision"), "l_partkey", "l_quantity")
+    log, out = version_log(spark, sf_dir), None
+    for row_id in (1, 2, 3, 5, 6, 7, 8, 36, 40, 41, 42, 43):
+        own = log.where(F.col("row_id") == row_id)
+        done = versions.restore(own, row_id, 1, 1_000_000_000).where("commit_sequence = 1000000000")
+        out = done if out is None else out.unionByName(done)
+    return out.select("row_id", "revision", "l_partkey", "l_quantity")
 
 
 def change_log(spark, sf_dir) -> DataFrame:
@@ -185,12 +190,12 @@ def route_children(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {ROUTES}, {TREE.format(start='parent_id IS NULL')} SELECT route_id, path, CAST(depth AS INTEGER) AS depth FROM tree")
 def route_paths(spark, sf_dir):
-    return graph.paths(spark, routes(spark, sf_dir))
+    return graph.paths(routes(spark, sf_dir))
 
 
 @query(f"WITH RECURSIVE {ROUTES}, {TREE.format(start=chr(39).join(['route_id = ', 'r2', '']))} SELECT route_id, path, CAST(depth AS INTEGER) AS depth FROM tree WHERE depth > 0")
 def route_descendants(spark, sf_dir):
-    return graph.paths(spark, routes(spark, sf_dir), "r2").where("depth > 0")
+    return graph.paths(routes(spark, sf_dir), "r2").where("depth > 0")
 
 
 @query(f"WITH {ROUTES} SELECT parent_id, count(*) AS n_children FROM routes WHERE parent_id IS NOT NULL GROUP BY parent_id HAVING count(*) >= 12")
