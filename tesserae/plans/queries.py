@@ -415,11 +415,6 @@ def numeric_evidence(spark, sf_dir):
     return health.numeric_evidence(table(spark, sf_dir, "pages"), "page_id", F.col("html"))
 
 
-@query()
-def read_windows(spark, sf_dir):
-    return health.read_windows(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 4, 2000)
-
-
 @query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_custkey - 3 >= 100 AND o_orderstatus <> 'F' OR o_custkey % 50 = 7")
 def statement_select(spark, sf_dir):
     """The same rows through the statement language, unbounded scan."""

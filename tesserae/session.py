@@ -18,15 +18,20 @@ def get_session(app: str = "tesserae", master: str | None = None, **settings: st
     return builder.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The frame read back from a table in spark.checkpoint.dir: lineage ends there, on storage that outlives executors."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share; a private folder is set only where none is configured and all run in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tesserae-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The frame read back from a table in the shared folder: lineage ends there, on storage that outlives executors."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

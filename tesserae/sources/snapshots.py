@@ -69,3 +69,22 @@ def backup(frames: dict[str, DataFrame], path: str) -> dict:
 
 def verify_backup(spark: SparkSession, path: str, digests: dict) -> list[str]:
     return [name for name, d in digests.items() if frame_digest(spark.read.parquet(f"{path}/{name}")) != d]
+
+
+def restore_backup(spark: SparkSession, path: str, digests: dict) -> dict[str, DataFrame]:
+    """The frames of a backup; one that differs from its digest is an error, and none is given."""
+    bad = verify_backup(spark, path, digests)
+    if bad:
+        raise ValueError(f"{', '.join(bad)} differ from the backup's digests")
+    return {name: spark.read.parquet(f"{path}/{name}") for name in digests}
+
+
+def migrate(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Items of a document of the former format (one JSON object with `version` 0 and `items`) as rows; what the schema doesn't name stays in `extra`."""
+    whole = spark.read.text(path, wholetext=True)
+    known = _schema(schema).fieldNames()
+    held = whole.select(F.get_json_object("value", "$.version").alias("version"), F.explode(F.from_json(F.get_json_object("value", "$.items"), "array<string>")).alias("item"))
+    if not held.where("version <> '0' or version is null").isEmpty():
+        raise ValueError("not a document of version 0")
+    rows = held.select(F.from_json("item", schema).alias("v"), F.from_json("item", "map<string,string>").alias("m"))
+    return rows.select("v.*", F.to_json(F.map_filter("m", lambda k, _: ~k.isin(*known))).alias("extra"))

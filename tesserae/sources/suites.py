@@ -39,8 +39,20 @@ def queries_jsonl(spark: SparkSession, path: str, group: str = "all") -> DataFra
 RUN = "run_id string, arm string, query_id string, status string, candidates array<string>, input_tokens long, output_tokens long, tool_calls long, model_calls long, context_characters long, end_to_end_microseconds long"
 
 
-def run_json(spark: SparkSession, path: str) -> DataFrame:
-    """Strict results of runs: malformed lines, repeated results, repeated candidates and candidates of failed queries are errors."""
+MOST_BYTES = 128 * 1024 * 1024
+
+
+def run_json(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """Strict results of runs: files that are too large, malformed lines, unknown fields, repeated results, repeated candidates and candidates of failed
+    queries are errors."""
+    files = spark.read.format("binaryFile").load(path).select("length")  # contents aren't read
+    if not files.where(F.col("length") > most_bytes).isEmpty():
+        raise ValueError(f"a file is larger than {most_bytes} bytes")
+    known = [c.split()[0] for c in RUN.split(", ")]
+    fields = spark.read.text(path).select(F.explode(F.json_object_keys("value")).alias("field"))
+    odd = fields.where(~F.col("field").isin(*known)).limit(1).collect()
+    if odd:
+        raise ValueError(f"unknown field {odd[0][0]}")
     rows = _unique(spark.read.schema(RUN).json(path, mode="FAILFAST"), ["run_id", "query_id"], "results")
     bad = rows.where((F.size(F.array_distinct("candidates")) < F.size("candidates")) | (F.col("status") == "failed") & (F.size("candidates") > 0) | ~F.col("status").isin("completed", "failed"))
     if not bad.isEmpty():

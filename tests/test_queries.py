@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tesserae.plans.queries import ORACLE_SQL, QUERIES
+from tesserae.plans.all_queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
