@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,9 +24,11 @@ def documents_to_fields(rows: DataFrame, object_id: str, fields: list[str]) -> D
     return rows.select(F.col(object_id).alias("object_id"), F.explode(pairs).alias("f")).select("object_id", "f.field_id", "f.value").where("value is not null and trim(value) <> ''")
 
 
-def postings(fields: DataFrame, keys: list[str]) -> DataFrame:
-    """Term frequency for each key and field: keys, field_id, term, frequency."""
-    return fields.select(*keys, "field_id", F.explode(terms(F.col("value"))).alias("term")).groupBy(*keys, "field_id", "term").agg(F.count("*").alias("frequency"))
+def postings(fields: DataFrame, keys: list[str], wanted: list[str] | None = None) -> DataFrame:
+    """Term frequency for each key and field: keys, field_id, term, frequency; of the wanted terms alone if there are any named."""
+    words = terms(F.col("value"))
+    words = words if wanted is None else F.filter(words, lambda t: t.isin(wanted))
+    return fields.select(*keys, "field_id", F.explode(words).alias("term")).groupBy(*keys, "field_id", "term").agg(F.count("*").alias("frequency"))
 
 
 def lexical_locations(found: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
@@ -66,10 +72,37 @@ def _specific(out: DataFrame, keys: list[str]) -> list[Column]:
     return [F.desc("score"), *kind, *(F.col(k) for k in keys if k != "kind")]
 
 
+def _nearest(query: list[float], limit: int, key: str):
+    """Of each batch the rows that can be among the first, by a matrix product with room for its rounding, and their products summed in order."""
+    q = np.array(query, np.float64)
+
+    def product(v: list) -> float | None:
+        total = 0.0
+        for x, y in zip(v, query, strict=True):
+            if x is None:
+                return None
+            total += x * y
+        return total
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            if len(lists) > limit and lists.flatten().null_count == 0:
+                matrix = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), len(q)).astype(np.float64)
+                s = matrix @ q
+                if np.isfinite(s).all():
+                    least = np.partition(s, len(s) - limit)[len(s) - limit]
+                    batch = batch.filter(pa.array(s >= least - 1e-9 * (1 + np.abs(s).max())))
+            yield pa.record_batch([batch.column(0), pa.array([product(v) for v in batch.column(1).to_pylist()], pa.float64())], names=[key, "score"])
+
+    return run
+
+
 def vector_candidates(vectors: DataFrame, query: list[float], limit: int, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """Exact dot products, highest first, ties to the smaller key."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    return vectors.where(F.size(embedding) == len(query)).select(key, dot(F.col(embedding), q).alias("score")).orderBy(F.desc("score"), key).limit(limit)
+    """Exact dot products in double precision, highest first, ties to the smaller key. Each batch hands on the few rows that can be among the first."""
+    own = vectors.where(F.size(embedding) == len(query)).select(key, embedding)
+    scored = own.mapInArrow(_nearest([float(x) for x in query], limit, key), f"`{key}` {dict(own.dtypes)[key]}, score double")
+    return scored.orderBy(F.desc("score"), key).limit(limit)
 
 
 def norm_violations(vectors: DataFrame, tolerance: float = 1e-4, embedding: str = "embedding") -> DataFrame:

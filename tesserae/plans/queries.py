@@ -239,8 +239,9 @@ FIELDS = "fields AS (SELECT p_partkey AS object_id, unnest([{'f': 'p_name', 'v':
   SELECT object_id, count(DISTINCT term) AS matched_term_count, count(DISTINCT field_id) AS matched_field_count, count(*) AS frequency FROM d WHERE term IN ('the', 'en', 'with', 'fr', 'der')
   GROUP BY object_id ORDER BY matched_term_count DESC, matched_field_count DESC, frequency DESC, object_id LIMIT 64""")
 def lexical_locations(spark, sf_dir):
-    wanted = spark.createDataFrame([(w,) for w in ("the", "en", "with", "fr", "der")], "term string")
-    found = retrieval.postings(retrieval.documents_to_fields(table(spark, sf_dir, "documents"), "doc_id", ["text", "lang"]), ["object_id"])
+    words = ["the", "en", "with", "fr", "der"]
+    wanted = spark.createDataFrame([(w,) for w in words], "term string")
+    found = retrieval.postings(retrieval.documents_to_fields(table(spark, sf_dir, "documents"), "doc_id", ["text", "lang"]), ["object_id"], words)
     return retrieval.ranked(retrieval.lexical_locations(found, wanted, ["object_id"]), ["object_id"], 64).drop("matched_field_ids")
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import uuid
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,7 +70,7 @@ class Postings:
         if high <= last:
             return last
         fresh = self.log.versions(KINDS, high, after=last)
-        found = retrieval.postings(fields_of(fresh), KEYS).withColumn("part", F.pmod(F.xxhash64("term"), F.lit(PARTS)).cast("int"))
+        found = retrieval.postings(fields_of(fresh), KEYS).withColumn("part", (F.crc32(F.col("term").cast("binary")) % PARTS).cast("int"))
         folder = f"g{high:020d}-{uuid.uuid4().hex[:8]}"
         self._write(folder, found, fresh.select(*KEYS[:4], "revision", "state"))
         folders = [*folders, folder]
@@ -95,8 +96,8 @@ class Postings:
     def lookup(self, terms: list[str]) -> DataFrame:
         """Postings of terms for newest live versions: KEYS, field_id, term, frequency."""
         _, folders = self._current()
-        parts = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "t string").select(F.pmod(F.xxhash64("t"), F.lit(PARTS)).cast("int")).collect()]
-        hits = self._parts(folders, "postings", _POSTINGS).where(F.col("part").isin(sorted(set(parts))) & F.col("term").isin(terms)).drop("part")
+        parts = sorted({zlib.crc32(t.encode()) % PARTS for t in terms})
+        hits = self._parts(folders, "postings", _POSTINGS).where(F.col("part").isin(parts) & F.col("term").isin(terms)).drop("part")
         objects = hits.select("kind", "object_id").distinct()
         heads = self._newest(self._parts(folders, "heads", _HEADS).join(objects, ["kind", "object_id"], "left_semi"))
         return hits.join(heads.where("state = 'live'").select("kind", "object_id", "revision"), ["kind", "object_id", "revision"], "left_semi")
@@ -119,7 +120,7 @@ class Postings:
         fresh = self.log.versions(KINDS, high)
         heads = self._newest(fresh.select(*KEYS[:4], "revision", "state"))
         live = fresh.join(heads.where("state = 'live'").select("kind", "object_id", "revision"), ["kind", "object_id", "revision"], "left_semi")
-        found = retrieval.postings(fields_of(live), KEYS).withColumn("part", F.pmod(F.xxhash64("term"), F.lit(PARTS)).cast("int"))
+        found = retrieval.postings(fields_of(live), KEYS).withColumn("part", (F.crc32(F.col("term").cast("binary")) % PARTS).cast("int"))
         folder = f"g{high:020d}-{uuid.uuid4().hex[:8]}r"
         self._write(folder, found, heads)
         self.files.make("markers")
