@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import zipfile
@@ -141,6 +142,14 @@ def run_files(spark, sf_dir):
     return listed(spark, [(k, outcome(k)) for k in contents], "test_case string, outcome string")
 
 
+@query("SELECT r_name || '.txt' AS file, CASE r_regionkey WHEN 0 THEN 'changed' WHEN 1 THEN 'unexpected' ELSE 'good' END AS state FROM region UNION ALL SELECT 'none.txt', 'missing'")
+def dataset_verified(spark, sf_dir):
+    rows = table(spark, sf_dir, "region").collect()
+    path = files_of(spark, "dataset", {f"{r['r_name']}.txt": r["r_name"].encode() for r in rows})
+    sums = {f"{r['r_name']}.txt": hashlib.sha256((r["r_name"] + "x" * (r["r_regionkey"] == 0)).encode()).hexdigest() for r in rows if r["r_regionkey"] != 1}
+    return suites.verified(spark, path, sums | {"none.txt": "0"})
+
+
 # --- text
 
 TEXTS = ["Alpha 東京都 beta", "ΟΔΟΣ ΣΟΦΟΣ", "İstanbul 7", "中", "a東b京", "日本 日本", "Größe, 3,5 m²", "x__y"]

@@ -640,3 +640,28 @@ def audit_log(spark, sf_dir):
         audit.append("me", "open", r["r_name"], "done")
     assert audit.verify() == []
     return audit.scan().select("sequence", "subject", F.col("previous").isNotNull().alias("linked"))
+
+
+@query("SELECT * FROM (VALUES ('two leaves', 'add 2 remove 0'), ('one other', 'add 1 remove 1'), ('the same', 'add 0 remove 0'), ('paths', '/b,/c'), ('taken', 'constraint_violation'), ('none', 'add 0 remove 2'), ('back', 'add 1 remove 0'), ('paths again', '/a')) AS v(test_case, code)")
+def membership_sets(spark, sf_dir):
+    """A row's leaves as a whole: what differs is written, also after it was taken back."""
+    s = fresh(spark)
+    one, two = s.insert_many(("d", "t"), [{"title": "a"}, {"title": "b"}])
+    root = s.execute("CREATE ROUTE ROOT FOR TABLE d.t PURPOSE 'r'").rows[0]["route_id"]
+    leaf = {n: s.execute("CREATE ROUTE UNDER ? NAME ? KIND 'leaf' PURPOSE 'x'", [root, n]).rows[0]["route_id"] for n in "abc"}
+    put = lambda row, names: "add {add} remove {remove}".format(**s.set_leaves(("d", "t"), row, [leaf[n] for n in names]))
+    paths = lambda: ",".join(s.route_paths([one]).get(one, []))
+    found = {"two leaves": put(one, "ab"), "one other": put(one, "bc"), "the same": put(one, "cb"), "paths": paths(), "taken": code(put, two, "c"), "none": put(one, ""), "back": put(one, "a")}
+    return cases(spark, found | {"paths again": paths()})
+
+
+APPROVALS = {"no approval": "permission_denied", "other action": "permission_denied", "other subject": "permission_denied", "not confirmed": "permission_denied", "approved": "none"}
+
+
+@query(values(APPROVALS))
+def approvals(spark, sf_dir):
+    s = fresh(spark)
+    plan = s.execute("PLAN SCHEMA CHANGE FOR TABLE d.t USING :c", {"c": [{"op": "add", "name": "z", "type": "TEXT"}]}).rows[0]
+    good = {"action": "APPLY_SCHEMA_CHANGE", "subject_sha256": plan["plan_hash"], "confirmed": True}
+    run = lambda **o: code(s.execute, "APPLY SCHEMA CHANGE PLAN :p FOR TABLE d.t", {"p": plan}, **o)
+    return cases(spark, {"no approval": run(), "other action": run(approval=good | {"action": "APPLY_ROUTE_MUTATION"}), "other subject": run(approval=good | {"subject_sha256": "0"}), "not confirmed": run(approval=good | {"confirmed": False}), "approved": run(approval=good)})

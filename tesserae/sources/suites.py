@@ -58,3 +58,11 @@ def run_json(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> Da
     if not bad.isEmpty():
         raise ValueError("a result has repeated candidates, candidates though it failed, or an unknown status")
     return rows
+
+
+def verified(spark: SparkSession, path: str, digests: dict[str, str]) -> DataFrame:
+    """file, state (good, changed, missing or unexpected) of a data set's files by their SHA-256."""
+    found = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("digest"))
+    known = spark.createDataFrame(sorted(digests.items()), "file string, wanted string")
+    state = F.when(F.col("wanted").isNull(), "unexpected").when(F.col("digest").isNull(), "missing").when(F.col("digest") == F.col("wanted"), "good").otherwise("changed")
+    return found.join(known, "file", "full").select("file", state.alias("state"))
