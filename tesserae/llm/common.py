@@ -30,8 +30,26 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, "4m")
 
 
+_MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A folder's name in the shared folder. Frames that operators return read their last folders when they run; `remove_made` takes them away
+    once a caller has written what it wants."""
+    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def made() -> int:
+    """How many folders there have been."""
+    return len(_MADE)
+
+
+def remove_made(spark: SparkSession, since: int, *keep: str) -> None:
+    """Deletes the folders made since, but for some."""
+    gone = [p for p in _MADE[since:] if p not in keep]
+    remove(spark, *gone)
+    _MADE[since:] = [p for p in _MADE[since:] if p in keep]
 
 
 def remove(spark: SparkSession, *paths: str) -> None:
