@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tesserae.llm import decontam, minhash, packing, pii, toxicity
-from tesserae.llm.common import crc_mod, new_path, remove, table
+from tesserae.llm.common import crc_mod, made, new_path, remove, remove_made, table
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,11 +45,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, old = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
+        since = made()
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             path = new_path(spark, f"pipeline-{name}")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            remove_made(spark, since, path)  # what the stage left on the way
             if old:
                 remove(spark, old)
             old = path
