@@ -40,3 +40,34 @@ def test_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_odd_rows(spark):
+    """Null ids and texts, repeated rows and ids, long texts and columns named like those that stages use: rows that are clean stay as they are."""
+    from pyspark.sql import functions as F
+
+    long = " ".join(f"word{i} of a long text" for i in range(4000))
+    rows = [(1, "one two three four five six seven"), (1, "one two three four five six seven"), (1, "another text under the same id"), (2, None), (2, None), (None, "no id here"), (None, None), (3, ""), (4, long), (5, "write to me@example.com or +49 30 1234567")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("lang", "source", "key", "marks", "term", "hits", "n_words", "items", "spans", "score", "maybe", "odd", "own", "fp", "id"):
+        docs = docs.withColumn(c, F.lit(c))
+    docs = docs.withColumn("n_chars", F.char_length("text").cast("long"))
+    held = docs
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        held = stage(spark, held, SF).cache()
+        assert held.columns == docs.columns, name
+        assert all(r["key"] == "key" and r["hits"] == "hits" for r in held.collect()), name
+    got = sorted((str(r["doc_id"]), str(r["text"])) for r in held.collect())
+    want = [("1", "another text under the same id"), ("1", "one two three four five six seven"), ("2", "None"), ("3", ""), ("4", long), ("5", "write to [EMAIL] or [PHONE]"), ("None", "None"), ("None", "no id here")]
+    assert got == sorted(want)
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in held.collect())
+    assert corpus_pipeline.STAGES[4][1](spark, held, SF).select("doc_id").distinct().count() == 6
+
+
+def test_run(spark):
+    from tesserae.llm import common
+
+    rows = corpus_pipeline.run(spark, SF)
+    ids = {r["doc_id"] for r in rows.select("doc_id").distinct().collect()}
+    assert ids and ids <= {r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert len([p for p in common._MADE if "/pipeline-" in p]) <= 4
