@@ -186,7 +186,7 @@ _RUNS = (
 
 @query(f"""WITH {_RUNS} SELECT arm, count(*) AS runs, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'cancelled') AS cancelled, count(*) FILTER (status = 'budget_exhausted') AS budget_exhausted,
   CAST(sum(n % 4 + 1) AS BIGINT) AS levels_expected, CAST(sum(n % 2) AS BIGINT) AS level_top1_correct, CAST(sum(n % 4) AS BIGINT) AS model_calls, CAST(sum(n % 6) AS BIGINT) AS input_tokens, count(*) FILTER (n % 5 <> 0) AS exact_path_success, count(*) FILTER (n % 4 <> 0) AS rowid_success,
-  count(*) FILTER (status <> 'completed' OR n % 5 = 0 OR n % 4 = 0 OR unsafe) AS failure_cells, max(n % 7) AS generation_bytes, quantile_disc(n % 104, 0.5) AS end_to_end_ms_p50, quantile_disc(n % 104, 0.95) AS end_to_end_ms_p95, count(*) FILTER (n % 6 = 0) * 1.0 / nullif(count(*) FILTER (n % 2 = 0), 0) AS predictor,
+  count(*) FILTER (status <> 'completed' OR n % 5 = 0 OR n % 4 = 0 OR unsafe) AS failure_cells, max(n % 7) AS generation_bytes, CAST(quantile_disc(n % 104, 0.5) AS DOUBLE) AS end_to_end_ms_p50, CAST(quantile_disc(n % 104, 0.95) AS DOUBLE) AS end_to_end_ms_p95, count(*) FILTER (n % 6 = 0) * 1.0 / nullif(count(*) FILTER (n % 2 = 0), 0) AS predictor,
   CAST(CASE WHEN count(*) FILTER (model = 'm2') = 0 THEN sum((n % 6) * 2000000 // 1000000) END AS BIGINT) AS input_micros FROM r GROUP BY arm""")
 def bucket_measures(spark, sf_dir):
     prices = listed(spark, [("p", "m1", 2_000_000, 3_000_000)], "provider string, model string, input_micros long, output_micros long")
@@ -216,7 +216,7 @@ def trace_turns(spark, sf_dir):
 
 
 @query("""WITH a AS (SELECT event_type AS arm, CASE WHEN event_id % 9 = 0 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN user_id % 2 = 0 THEN 'fact' ELSE 'list' END AS category, (event_id % 10) / 10.0 AS score, event_id % 100 AS tokens, event_id % 7 AS calls, event_id % 1000 AS latency FROM events),
-  s AS (SELECT arm, count(*) AS n_cases, avg(CASE WHEN status = 'completed' THEN 1.0 ELSE 0.0 END) AS completed, avg(score) FILTER (status = 'completed') AS score, count(*) FILTER (status = 'failed' OR score < CASE category WHEN 'fact' THEN 0.3 ELSE 0 END) AS below_minimum, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(calls) AS BIGINT) AS calls, quantile_disc(latency, 0.95) AS p95 FROM a GROUP BY arm),
+  s AS (SELECT arm, count(*) AS n_cases, avg(CASE WHEN status = 'completed' THEN 1.0 ELSE 0.0 END) AS completed, avg(score) FILTER (status = 'completed') AS score, count(*) FILTER (status = 'failed' OR score < CASE category WHEN 'fact' THEN 0.3 ELSE 0 END) AS below_minimum, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(calls) AS BIGINT) AS calls, CAST(quantile_disc(latency, 0.95) AS DOUBLE) AS p95 FROM a GROUP BY arm),
   d AS (SELECT *, max(score) OVER () - score AS delta FROM s), p AS (SELECT *, completed >= 0.8 AND below_minimum < 0 AND delta <= 0.2 AS passes FROM d)
   SELECT arm, n_cases, round(completed, 9) AS completed, round(score, 9) AS score, below_minimum, tokens, calls, p95, round(delta, 9) AS delta, completed >= 0.8 AND below_minimum = 0 AND delta <= 0.2 AS passes, false AS chosen FROM p""")
 def release_decisions(spark, sf_dir):

@@ -143,7 +143,7 @@ def store_history(spark, sf_dir):
         rows += [(r["revision"], r["operation"], r["row_state"], r["source_kind"]) for r in page.rows]
         cursor = page.cursor
         if not cursor:
-            return listed(spark, rows, "revision long, operation string, row_state string, source_kind string")
+            return listed(spark, rows, "revision int, operation string, row_state string, source_kind string")
 
 
 @query("SELECT * FROM (VALUES ('knows', 9, 10, 'out'), ('knows', 9, 11, 'out'), ('knows', 708, 12, 'out'), ('knows', 9, 10, 'in'), ('knows', 9, 11, 'in'), ('knows', 708, 12, 'in')) AS v(relation_type, source_key, target_key, side)")
@@ -153,7 +153,7 @@ def store_relations(spark, sf_dir):
     keys = s.plan("SELECT row_id, key FROM sales.customers", bounded=False)
     shown = s.relation_pages().join(keys, "row_id").join(keys.select(F.col("row_id").alias("other_id"), F.col("key").alias("other")), "other_id")
     out = F.col("direction") == "out"
-    return shown.select("relation_type", F.when(out, F.col("key")).otherwise(F.col("other")).alias("source_key"), F.when(out, F.col("other")).otherwise(F.col("key")).alias("target_key"), F.col("direction").alias("side"))
+    return shown.select("relation_type", F.when(out, F.col("key")).otherwise(F.col("other")).cast("int").alias("source_key"), F.when(out, F.col("other")).otherwise(F.col("key")).cast("int").alias("target_key"), F.col("direction").alias("side"))
 
 
 @query("SELECT CAST(c_custkey AS BIGINT) AS key, c_name AS name FROM customer WHERE c_custkey = 13 UNION ALL SELECT 0, 'display=name roles=title'")
