@@ -29,7 +29,7 @@ from .common import new_path, small_batches, stored, texts
 
 VOCABULARY = "word_bpe_49k.json"
 SCHEMA = "doc_id long, row long, ids array<int>"
-CACHE = 80_000
+CACHE = 120_000
 STRIPE_BYTES, INDEX_ROWS, FILE_BYTES = 8_388_608, 1_000, 268_435_456
 #: Latin-1 letters and then marks: two pieces for the pre-tokenizer, the first one lower-cased letter by letter.
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
