@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, stored, texts
-from .tokens import VOCABULARY, _path, encoder
+from .tokens import SMALL_CACHE, VOCABULARY, _path, encoder
 
 LENGTH, OPEN, MERGE = 4096, 64, 16
 FIELDS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
@@ -95,7 +95,7 @@ def _rows(windows: list[tuple[int, list[tuple]]], base: int, is_open: bool, with
 
 def _pack(path: str, end: int, length: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, last, packer = encoder(path), np.array([end], "<u4").tobytes(), Packer(length, most)
+        own, last, packer = encoder(path, SMALL_CACHE), np.array([end], "<u4").tobytes(), Packer(length, most)
         base = TaskContext.get().partitionId() << 32
         for batch in batches:
             for at in range(0, batch.num_rows, 500):

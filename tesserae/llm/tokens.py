@@ -29,7 +29,7 @@ from .common import new_path, small_batches, stored, texts
 
 VOCABULARY = "word_bpe_49k.json"
 SCHEMA = "doc_id long, row long, ids array<int>"
-CACHE = 120_000
+CACHE, SMALL_CACHE = 300_000, 120_000  # chunks of a generation: where a worker does nothing else, and within a pipeline
 STRIPE_BYTES, INDEX_ROWS, FILE_BYTES = 8_388_608, 1_000, 268_435_456
 #: Latin-1 letters and then marks: two pieces for the pre-tokenizer, the first one lower-cased letter by letter.
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
@@ -95,9 +95,10 @@ class _Chunks(dict):
 class Encoder:
     """ids(text) -> bytes of little-endian unsigned 32-bit integers, without an end id."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache: int | None = None) -> None:
         from tokenizers import Tokenizer
 
+        self.cache = cache
         tokenizer = Tokenizer.from_file(path)
         steps = json.loads(tokenizer.to_str())
         self.by_chunk = (steps["normalizer"], steps["pre_tokenizer"], steps["truncation"], steps["padding"]) == (NORMALIZER, PRE_TOKENIZER, None, None)
@@ -108,15 +109,15 @@ class Encoder:
             return b""
         if not self.by_chunk:
             return self.chunks.encoded(text.decode("utf-8"))
-        if len(self.chunks) > CACHE:
+        if len(self.chunks) > (self.cache or CACHE):
             self.chunks.age()
         return b"".join(map(self.chunks.__getitem__, text.split()))
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache: int | None = None) -> Encoder:
     """One for each Python worker, so that its cache outlives a task."""
-    return Encoder(path)
+    return Encoder(path, cache)
 
 
 def _path(vocabulary: str) -> str:
