@@ -14,7 +14,8 @@ it is above 0; for larger sets t = 1 (no equal band of 24 has a chance of 3e-6 a
 Within a bucket pairs aren't listed. Buckets are dealt into pairs of blocks of at most `BLOCK` members, in which a task compares
 sketches in memory: m members that aren't linked to each other cost m^2 / BLOCK rows of sketches and m^2 comparisons, so
 buckets that have become one component leave early. First every member is compared with `PIVOTS` others: of the smallest members of its
-buckets those that stand in most of them; then every member that isn't in its bucket's largest component names its likeliest partner in another one; at last all likely pairs of different components come out, each in one
+buckets those that stand in most of them; then every member that isn't in its bucket's largest component names its likeliest partner in another one, and all members with any likely partner in another one are noted,
+named or not; at last all likely pairs of different components among those that were noted come out, each in one
 bucket only, after their smallest 512 values (the whole set of most documents) have been compared as well.
 After each step links are confirmed and joined to components by a few rounds, and buckets that have become one
 component, or have the same members as another one, are left alone. Nothing is capped.
@@ -175,7 +176,8 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _likely(step: str):
-    """For rows sorted by (key, b1, b2): pairs of different components in one group whose estimate doesn't rule a link out."""
+    """For rows sorted by (key, b1, b2): pairs of different components in one group whose estimate doesn't rule a link out. Step "best": a few
+    of them, and (id, id) for every member of any."""
 
     def judged(t: pa.Table) -> pa.RecordBatch:
         t = t.combine_chunks()
@@ -190,6 +192,7 @@ def _likely(step: str):
         found: set[tuple[int, int]] = set()
         best: dict[int, tuple[float, int]] = {}
         apart = np.ones(len(ids), bool)  # not in the largest component of the group
+        noted = np.zeros(len(ids), bool)  # with a likely partner, whoever names it
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> None:
@@ -198,7 +201,9 @@ def _likely(step: str):
             i, o = (np.concatenate([w[k] for w in waiting]) for k in (0, 1))
             waiting.clear()
             j = estimate(regs[i], regs[o], n[i], n[o])
-            i, o, j = i[j >= MAYBE].tolist(), o[j >= MAYBE].tolist(), j[j >= MAYBE].tolist()
+            i, o, j = i[j >= MAYBE], o[j >= MAYBE], j[j >= MAYBE]
+            noted[i] = noted[o] = True
+            i, o, j = i.tolist(), o.tolist(), j.tolist()
             if step == "best":
                 for x, y, z in zip(i, o, j, strict=True):
                     if apart[y]:
@@ -233,7 +238,9 @@ def _likely(step: str):
                     flush()
                     size = 0
         flush()
-        found.update((min(ids[x], ids[y]), max(ids[x], ids[y])) for x, (_, y) in best.items())
+        if step == "best":
+            found.update((min(ids[x], ids[y]), max(ids[x], ids[y])) for x, (_, y) in best.items())
+            found.update((x, x) for x in ids[noted])
         pairs = sorted(found)
         return pa.record_batch([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["p", "id"])
 
@@ -372,20 +379,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     reps = keep(classes.where(_among(members, "id")("id")).select("id", "fp", "rep", "sketch", "n"), "reps")
     again = not rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").isEmpty()
 
-    def fetched(near: DataFrame) -> DataFrame:
-        """Text and smallest values of every class in likely pairs."""
-        some = keep(near.select("id").union(near.select("p")).distinct().join(reps, "id").select("id", "fp", F.col("rep").alias("doc_id")), "wanted")
+    def fetched(ids: DataFrame) -> DataFrame:
+        """Text and smallest values of classes."""
+        some = keep(ids.join(reps, "id").select("id", "fp", F.col("rep").alias("doc_id")), "wanted")
         held = docs.where(_among(some, "doc_id")("doc_id")).join(some, "doc_id")
         held = held.select("id", "fp", "text").mapInArrow(_own_text(k), "id long, text string, small binary")
         if again:  # else a class has one row with its id
             held = held.groupBy("id").agg(F.first("text").alias("text"), F.first("small").alias("small"))
         return keep(held, "texts")
 
-    edges = held = None
+    edges = held = noted = None
     for step in STEPS:
         members = members.select("key", "id")
-        if step == "all" and held is not None:
-            members = members.join(held.select("id"), "id", "left_semi")
+        if step == "all":  # components only grow: who had no likely partner in another one in the step before has none now
+            members = members.join(noted, "id", "left_semi")
         if edges is None:
             members = members.withColumn("root", F.col("id"))
         else:
@@ -410,19 +417,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             rest = rest.withColumn("b1", F.least("own", "other")).withColumn("b2", F.greatest("own", "other")).withColumn("first", F.col("own") <= F.col("other"))
             if step == "all":
-                # who had no likely partner in the step before has none now: `held` has all others
+                missing = keep(members.select("id").distinct().join(held.select("id"), "id", "left_anti"), "wanted")
+                if not missing.isEmpty():
+                    held = held.union(fetched(missing))
                 rest = rest.join(members.groupBy("id").agg(F.collect_list("key").alias("keys")), "id").join(held.select("id", "small"), "id")
             else:
                 rest = rest.withColumn("keys", F.lit(None).cast("array<long>")).withColumn("small", F.lit(None).cast("binary"))
             near = rest.select("key", "b1", "b2", "first", "id", "root", "sketch", "n", "keys", "small").repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2").mapInArrow(_likely(step), "p long, id long")
             near = keep(near.distinct(), "near")
+            if step == "best":
+                noted, near = near.where("p = id").select("id"), near.where("p <> id")
         _freed(spark)
         if near.isEmpty():
             if step == "best":
                 break  # nobody has a likely partner elsewhere
             continue
         if step != "all":
-            held = fetched(near)
+            held = fetched(near.select("id").union(near.select("p")).distinct())
         one, two = held.select("id", "text").alias("one"), held.select("id", "text").alias("two")  # one exchange for both
         texted = near.alias("near").join(one, F.col("near.id") == F.col("one.id")).join(two, F.col("near.p") == F.col("two.id"))
         texted = texted.select("near.p", "near.id", F.col("two.text").alias("t_p"), F.col("one.text").alias("t_id"))

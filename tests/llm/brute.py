@@ -1,6 +1,7 @@
 """Plain versions of the training-data contracts, for small fixtures."""
 
 import hashlib
+import random
 import re
 import zlib
 from itertools import combinations
@@ -35,6 +36,19 @@ def near_duplicates(docs, k=4):
     return {i: (len(sets[i]), find(i), find(i) == i) for i in sets}
 
 
+def one_link_clusters(k, clusters=12, size=102):
+    """Rows of clusters of texts: all but the last kind are linked with each other, a text of the last kind with one of them alone, and nearly with the others."""
+    rng, out = random.Random(17), []
+    for c in range(clusters):
+        base = [f"c{c}w{i}" for i in range(93 * k - 1)]  # 92 k shingles: ten changed words leave a similarity of 0.804, eleven 0.786
+        places = rng.sample(range(k, len(base) - k, k), 17)
+        changes = [rng.sample(places[5:], 6) for _ in range(size - 2)] + [rng.sample(places[5:], 5), places[:5]]
+        rows = [" ".join(f"new{w}" if i in change else w for i, w in enumerate(base)) for change in changes]
+        rng.shuffle(rows)
+        out += [(len(out) + i, t) for i, t in enumerate(rows)]
+    return out
+
+
 def contamination(text, items, window=13):
     words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(t))
     mine, hit, found = words(text), set(), set()

@@ -88,6 +88,16 @@ def test_minhash_recall(spark):
     assert not any(f and not t for f, t in zip(found, true))
 
 
+def test_minhash_unnamed_partner(spark):
+    """A group's member that nobody names as the likeliest partner may still hold the only link to another document."""
+    rows = brute.one_link_clusters(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
+    want = {}
+    for at in range(0, len(rows), 102):  # clusters share no word
+        want |= brute.near_duplicates(rows[at : at + 102])
+    assert sum(kept for _, _, kept in want.values()) == 12 and got == want
+
+
 def test_minhash_sql(spark):
     import duckdb
 
