@@ -36,6 +36,16 @@ def test_stages(spark):
     assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == set(after)
 
 
+def test_near_dedup_unnamed_partner(spark):
+    """Five-word shingles: a document goes whose only link leads to a group's member that nobody names as the likeliest partner."""
+    rows, want = brute.one_link_clusters(5), {}
+    for at in range(0, len(rows), 102):  # clusters share no word
+        want |= brute.near_duplicates(rows[at : at + 102], 5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.near_dedup(spark, docs, SF).collect()
+    assert sorted(map(tuple, got)) == [(i, t) for i, t in rows if want[i][2]]
+
+
 def test_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
