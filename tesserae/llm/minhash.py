@@ -5,11 +5,11 @@ sequence is one shingle). The sketch has 128 buckets, chosen by the top bits of
 keeps the smallest remaining value as its leading-zero count (6 bits) and the 10 bits after the
 leading one. Equal sets are folded into one class first, so copies cost one row.
 
-Candidates: 96 registers are banded four at a time. Two sets with Jaccard >= 0.8 agree on many bands,
-so each class keeps only its rarest band keys (prefix filter): with nb non-empty bands of which at
-least t must be shared, nb - t + 1 keys suffice. A set of n shingles differs from a partner in at
+Candidates: all registers are banded four at a time, so that every set that isn't empty has a band. Two sets with
+Jaccard >= 0.8 agree on many bands, so each class keeps only its rarest band keys (prefix filter): with nb non-empty bands of
+which at least t must be shared, nb - t + 1 keys suffice. A set of n shingles differs from a partner in at
 most n / 4 elements and one element spoils one band at most, hence t >= nb - n // 4, which is exact where
-it is above 0; for larger sets t = 1 (no equal band of 24 has a chance of 3e-6 at 0.8).
+it is above 0; else t = 1 (no equal band of 32 has a chance of 5e-8 at 0.8; four shingles in one band, which a fifth spoils, one of 1e-6).
 
 Within a bucket pairs aren't listed. Buckets are dealt into pairs of blocks of at most `BLOCK` members, in which a task compares
 sketches in memory: m members that aren't linked to each other cost m^2 / BLOCK rows of sketches and m^2 comparisons, so
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import bit_test, fresh, released, remove, small_batches, stored, texts
 
 BUCKETS, MANTISSA, ROWS = 128, 10, 4
-BANDS = 24
+BANDS = BUCKETS // ROWS
 #: An estimate below MAYBE can't belong to 0.8: its deviation is 0.036 there.
 MAYBE = 0.62
 BLOCK, PAIRS = 4096, 50_000
@@ -128,7 +128,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
             part = batch.slice(at, 2000)
-            regs = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, BUCKETS)[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64)
+            regs = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, BANDS, ROWS).astype(np.uint64)
             full = regs.any(axis=2)
             keys = _mix(((regs[:, :, 0] << np.uint64(48)) | (regs[:, :, 1] << np.uint64(32)) | (regs[:, :, 2] << np.uint64(16)) | regs[:, :, 3]) ^ salt)
             doc, band = np.nonzero(full)

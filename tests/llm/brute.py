@@ -49,6 +49,12 @@ def one_link_clusters(k, clusters=12, size=102):
     return out
 
 
+def short_pairs(k, pairs=1500):
+    """Texts of four shingles, each followed by the same one with another word at its end: a similarity of 0.8. Pairs share no word."""
+    rows = [" ".join(f"p{p}w{i}" for i in range(k + 3 + longer)) for p in range(pairs) for longer in (0, 1)]
+    return list(enumerate(rows))
+
+
 def contamination(text, items, window=13):
     words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(t))
     mine, hit, found = words(text), set(), set()

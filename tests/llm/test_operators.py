@@ -98,6 +98,13 @@ def test_minhash_unnamed_partner(spark):
     assert sum(kept for _, _, kept in want.values()) == 12 and got == want
 
 
+def test_minhash_short(spark):
+    """Sets of four shingles have few registers: none of them may lie outside all bands."""
+    rows = brute.short_pairs(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
+    assert got == {i: (4 + i % 2, i - i % 2, i % 2 == 0) for i, _ in rows}
+
+
 def test_minhash_sql(spark):
     import duckdb
 

@@ -46,6 +46,13 @@ def test_near_dedup_unnamed_partner(spark):
     assert sorted(map(tuple, got)) == [(i, t) for i, t in rows if want[i][2]]
 
 
+def test_near_dedup_short(spark):
+    """Five-word shingles: of two texts of eight and nine words with a similarity of 0.8 one goes, wherever their few registers lie."""
+    rows = brute.short_pairs(5)
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(map(tuple, got)) == rows[::2]
+
+
 def test_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
