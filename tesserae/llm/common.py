@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +85,22 @@ def released() -> None:
         trim(0)
 
 
+def driver_released(spark: SparkSession) -> str | None:
+    """Gives memory that the driver held back to the system: garbage, with the shuffle files of finished steps, which go with it, and what the
+    JVM's allocator keeps of finished compilations. What the JVM says of the latter; None if it can't do it."""
+    gc.collect()
+    jvm = spark._jvm
+    jvm.System.gc()
+    try:
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        return call.invoke(server, args)
+    except Py4JError:  # other JVMs and systems
+        return None
+
+
 def texts(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column without decoding."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

@@ -30,7 +30,6 @@ Other columns are ignored here; `deduplicate` returns the input's columns.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bit_test, fresh, released, remove, small_batches, stored, texts
+from .common import bit_test, driver_released, fresh, released, remove, small_batches, stored, texts
 
 BUCKETS, MANTISSA, ROWS = 128, 10, 4
 BANDS = BUCKETS // ROWS
@@ -338,16 +337,11 @@ def roots_of(edges: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
 
 
-def _freed(spark) -> None:
-    """Shuffle files of finished steps go when the driver's garbage is collected; long jobs shouldn't wait for chance."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id of the group), kept."""
     spark, paths = docs.sparkSession, []
     small_batches(spark)
+    driver_released(spark)  # long jobs shouldn't wait for chance
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         df, path = stored(df, name, few=name in ("near", "links", "wanted"))
@@ -375,7 +369,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     near_sizes = near_sizes.groupBy("key", "c").agg(F.sum("m").alias("m")).where("m > 1").select("key", "c")
     members = keep(members.join(near_sizes, ["key", "c"], "left_semi").select("key", "id"), "members")
 
-    _freed(spark)
+    driver_released(spark)
     reps = keep(classes.where(_among(members, "id")("id")).select("id", "fp", "rep", "sketch", "n"), "reps")
     again = not rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").isEmpty()
 
@@ -427,7 +421,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             near = keep(near.distinct(), "near")
             if step == "best":
                 noted, near = near.where("p = id").select("id"), near.where("p <> id")
-        _freed(spark)
+        driver_released(spark)
         if near.isEmpty():
             if step == "best":
                 break  # nobody has a likely partner elsewhere
@@ -454,6 +448,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         groups = groups.where("node is not null or n_rows > 1").join(least, "root", "left").select("fp", F.coalesce("least", "rep").alias("component"))
     groups, _ = stored(groups, "groups")
     remove(spark, *paths)
+    driver_released(spark)
     out = rows.select("doc_id", "n_shingles", "fp").join(groups, "fp", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 

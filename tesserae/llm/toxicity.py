@@ -168,7 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
     counted = rows.mapInArrow(_listed, "label int, f array<string>").select("label", F.explode("f").alias("f")).groupBy("f").agg(F.sum("label").alias("a"), F.count("*").alias("n")).where("n >= 3")
     a, n, share = F.col("a"), F.col("n"), n1 / (n0 + n1)
     g = 2 * (F.when(a > 0, a * F.log(a / (n * share))).otherwise(0.0) + F.when(n > a, (n - a) * F.log((n - a) / (n * (1 - share)))).otherwise(0.0))
-    kept = [r["f"] for r in counted.select("f", g.alias("g")).orderBy(F.desc("g"), "f").limit(n_features).collect()]
+    best, _ = stored(counted.select("f", g.alias("g")).orderBy(F.desc("g"), "f").limit(n_features), "features")  # else each partition sends the driver as many
+    kept = [r["f"] for r in best.collect()]
     names = sorted({*kept, *features(set(_OTHER))})
     shared = spark.sparkContext.broadcast({f: k for k, f in enumerate(names)})
     found = rows.mapInArrow(_indexed(shared), "label int, x array<int>, c array<int>").orderBy("label", F.xxhash64("x")).toPandas()

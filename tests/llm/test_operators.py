@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from tesserae.llm import decontam, html, minhash, packing, pii, quality, queries, sharding, tokens, topk, toxicity  # noqa: E402
+from tesserae.llm import common, decontam, html, minhash, packing, pii, quality, queries, sharding, tokens, topk, toxicity  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -670,3 +670,17 @@ def test_query_columns(spark):
         assert set(columns[op].split()) <= set(out.columns), name
         n = spark.read.parquet(f"{SF}/{'pages' if op == 'op9' else 'documents'}.parquet").count()
         assert (out.count() >= n if op == "op6" else out.count() > 0 if op == "op3" else out.count() == n), name
+
+
+def test_toxicity_features_to_driver(spark, monkeypatch):
+    """The best features are chosen in the cluster: no partition sends the driver its own list."""
+    frame, plans = type(spark.range(1)), []
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: (plans.append(self._jdf.queryExecution().executedPlan().toString()), collect(self))[1])
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    assert toxicity.train(docs.select("doc_id", "text"), labels, F.lit(True)).weights
+    assert plans and not any("TakeOrdered" in p for p in plans)
+
+
+def test_driver_released(spark):
+    assert "rim" in common.driver_released(spark)
