@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 #: A run of Han characters, or a run of other letters and digits; all else separates.
 RUN = r"\p{IsHan}+|[\p{L}\p{Nd}&&[^\p{IsHan}]]+"
-HAN, ANY_HAN, WORD = r"^\p{IsHan}", r"\p{IsHan}", r"[\p{L}\p{Nd}]++"
+#: The script is asked for only from its first character on.
+HAN, ANY_HAN, WORD = r"^\p{IsHan}", r"[\x{2E80}-\x{10FFFF}&&\p{IsHan}]", r"[\p{L}\p{Nd}]++"
 NUMBER = r"[-+]?[0-9]+(?:\.[0-9]+)?%?"
 WILSON_Z = 1.959963984540054
 
 
 def lowered(text: Column) -> Column:
     """Letter by letter: a capital sigma gives the same small one at a word's end as elsewhere, a dotted capital I gives an i."""
-    return F.lower(F.translate(text, "\u03a3\u0130", "\u03c3i"))
+    return F.when(text.contains("\u03a3") | text.contains("\u0130"), F.lower(F.translate(text, "\u03a3\u0130", "\u03c3i"))).otherwise(F.lower(text))
 
 
 def terms(text: Column) -> Column:

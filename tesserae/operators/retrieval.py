@@ -15,6 +15,8 @@ from ..functions import dot, terms, unique_terms
 KIND_RANK = {"row": 5, "route": 4, "column": 3, "table": 2, "database": 1}
 #: The more specific kind comes first among candidates of one score.
 SPECIFIC = {"route": 3, "table": 2, "database": 1}
+#: Keys that come in several rows are told by a remainder of their hash, so that what is broadcast has at most so many rows.
+BUCKETS = 1 << 18
 LIMITS = {"characters": 256, "terms": 32, "rows": 64, "least_bytes": 256, "most_bytes": 65_536}
 
 
@@ -25,10 +27,34 @@ def documents_to_fields(rows: DataFrame, object_id: str, fields: list[str]) -> D
 
 
 def postings(fields: DataFrame, keys: list[str], wanted: list[str] | None = None) -> DataFrame:
-    """Term frequency for each key and field: keys, field_id, term, frequency; of the wanted terms alone if there are any named."""
+    """Term frequency for each key and field: keys, field_id, term, frequency; of the wanted terms alone if there are any named.
+    A row whose key and field no other row has is counted by itself, so that its terms are neither shuffled nor held in a table of groups."""
+    own = [*keys, "field_id"]
+    if not keys or wanted is not None:
+        return _grouped(fields, own, wanted)
+    key = F.xxhash64(*own)
+    bucket = lambda h: F.pmod(h, F.lit(BUCKETS))
+    repeated = fields.groupBy(key.alias("key")).count().where("count > 1").select(bucket(F.col("key")).alias("bucket")).distinct()
+    rows = fields.select(*own, "value", bucket(key).alias("bucket"))
+    alone, others = (rows.join(F.broadcast(repeated), "bucket", how) for how in ("left_anti", "left_semi"))
+    return _counted(alone, own).unionByName(_grouped(others, own))
+
+
+def _grouped(fields: DataFrame, own: list[str], wanted: list[str] | None = None) -> DataFrame:
+    """Term frequencies over rows."""
     words = terms(F.col("value"))
     words = words if wanted is None else F.filter(words, lambda t: t.isin(wanted))
-    return fields.select(*keys, "field_id", F.explode(words).alias("term")).groupBy(*keys, "field_id", "term").agg(F.count("*").alias("frequency"))
+    return fields.select(*own, F.explode(words).alias("term")).groupBy(*own, "term").agg(F.count("*").alias("frequency"))
+
+
+def _counted(fields: DataFrame, own: list[str]) -> DataFrame:
+    """Term frequencies within each row: lengths of the runs of its sorted terms. An inner explode would have its input computed twice, for a filter on its size."""
+    words = F.col("words")
+    ends = F.filter(F.sequence(F.lit(0), F.size(words)), lambda i: (i > 0) & ~F.get(words, i - 1).eqNullSafe(F.get(words, i)))
+    runs = fields.select(*own, F.sort_array(terms(F.col("value"))).alias("words")).withColumn("ends", ends)
+    runs = runs.select("*", F.posexplode_outer("ends").alias("pos", "end")).where("end is not null")
+    length = F.col("end") - F.coalesce(F.get("ends", F.col("pos") - 1), F.lit(0))
+    return runs.select(*own, F.get(words, F.col("end") - 1).alias("term"), length.cast("long").alias("frequency"))
 
 
 def lexical_locations(found: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
